@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, mixing
+from . import host_rules, mixing, simhash, tokens, warc
 from .common import read
 
 
@@ -21,6 +21,39 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {"op3_host_rules": op3_host_rules, "op4_mix_sources": op4_mix_sources}
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, read back: each document's place, length and checksum."""
+    import public_tokenizers
 
-ORACLES: dict[str, str] = {}
+    folder = tokens.write_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    out = tokens.read_tokens(spark, folder, "doc_id long, start long, n_tokens long, ids_crc32 long", tokens.digest)
+    return out
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components of those within two bits."""
+    out = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return out.select(F.col("key").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, read back."""
+    return warc.pages_of(warc.read_warc(spark, warc.write_warc(read(spark, sf_dir, "pages"))))
+
+
+QUERIES = {"op3_host_rules": op3_host_rules, "op4_mix_sources": op4_mix_sources, "op6_token_files": op6_token_files, "op7_simhash": op7_simhash, "op8_warc": op8_warc}
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, payload, max(page_id) OVER (PARTITION BY sha256(payload)) AS top, sha1(payload) AS hexed FROM p),
+a AS (SELECT *, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' AS letters,
+  list_transform(range(0, 20), lambda i: CAST('0x' || substr(hexed, CAST(2 * i + 1 AS INT), 2) AS INT)) AS b FROM d),
+g AS (SELECT *, list_transform(range(0, 4), lambda q: b[5*q+1]::BIGINT * 4294967296 + b[5*q+2]::BIGINT * 16777216 + b[5*q+3]::BIGINT * 65536 + b[5*q+4]::BIGINT * 256 + b[5*q+5]::BIGINT) AS q5 FROM a)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr(letters, CAST((q5[k // 8 + 1] >> (35 - 5 * (k % 8))) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN top IS NULL OR page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN top IS NOT NULL AND page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM g
+"""
+
+ORACLES: dict[str, str] = {"op8_warc": OP8_SQL}
