@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, mixing, simhash, tokens, warc
+from . import host_rules, langid, mixing, simhash, tokens, toxicity, warc
 from .common import read
 
 
+def fold_of(key: str, folds: int):
+    """crc32 of the key as text, modulo folds."""
+    return F.crc32(F.col(key).cast("string")) % folds
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, from labels outside the held-out third."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold_of("doc_id", 3) != 1)
+    out = toxicity.score(docs, toxicity.learn(docs, labels))
+    held = F.coalesce(fold_of("doc_id", 3) == 1, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and host verdicts for every document."""
     out = host_rules.judge(read(spark, sf_dir, "documents"))
@@ -41,7 +55,15 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages_of(warc.read_warc(spark, warc.write_warc(read(spark, sf_dir, "pages"))))
 
 
-QUERIES = {"op3_host_rules": op3_host_rules, "op4_mix_sources": op4_mix_sources, "op6_token_files": op6_token_files, "op7_simhash": op7_simhash, "op8_warc": op8_warc}
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, from those outside the held-out fifth."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = langid.identify(docs.select("doc_id", "text"), langid.learn(docs.where(fold_of("doc_id", 5) != 0)))
+    held = F.coalesce(fold_of("doc_id", 5) == 0, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_host_rules": op3_host_rules, "op4_mix_sources": op4_mix_sources, "op6_token_files": op6_token_files, "op7_simhash": op7_simhash, "op8_warc": op8_warc, "op9_langid": op9_langid}
 
 OP8_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
