@@ -12,11 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .tokens import slices
 
 UNKNOWN = "und"
 #: Bounds of what is learned: labelled documents, words, n-grams of each length, and the longest n-gram.
-TRAIN_DOCS, WORDS, GRAMS, LONGEST = 20_000, 60_000, 20_000, 5
+TRAIN_DOCS, WORDS, GRAMS, LONGEST = 8_000, 60_000, 20_000, 5
 #: Bytes of one training document that are counted at a time; words whose vectors a worker keeps; words after which a longer text is no surer.
 KEPT, SURE = 200_000, 30
 _MODELS: dict[str, Identifier] = {}
@@ -41,7 +42,7 @@ def bounded(rows: DataFrame, key: Column, bound: int, seed: int = 0) -> DataFram
         return rows
     # 1.2 times the share leaves a few more rows than the bound for the exact cut among hashes alone
     share = min(1.0, 1.2 * bound / n + 1e-4)
-    edge = rows.select(h.alias("h")).where(F.col("h") < F.lit(int(-(1 << 63) + share * ((1 << 64) - 1)))).orderBy("h").limit(bound).agg(F.max("h")).first()[0]
+    edge = rows.select(h.alias("h")).where(F.col("h") <= F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))).orderBy("h").limit(bound).agg(F.max("h")).first()[0]
     return rows.where(h <= F.lit(edge))
 
 
@@ -83,12 +84,15 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
             yield out()
 
     counts = rows.mapInArrow(count, "lang string, size int, gram string, n long").groupBy("size", "gram", "lang").agg(F.sum("n").alias("n"))
-    by = counts.groupBy("size", "gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by")).cache()
-    top = by.where("size = 0").orderBy(F.desc("total"), "gram").limit(words)
+    counts = cut(counts)
+    total = counts.groupBy("size", "gram").agg(F.sum("n").alias("total"))
+    top = total.where("size = 0").orderBy(F.desc("total"), "gram").limit(words)
     for size in range(1, longest + 1):
-        top = top.unionByName(by.where(F.col("size") == size).orderBy(F.desc("total"), "gram").limit(n_grams))
-    kept = [(r["size"], r["gram"], {x["lang"]: x["n"] for x in r["by"]}) for r in top.collect()]
-    by.unpersist()
+        top = top.unionByName(total.where(F.col("size") == size).orderBy(F.desc("total"), "gram").limit(n_grams))
+    by: dict[tuple[int, str], dict[str, int]] = {}
+    for r in counts.join(F.broadcast(top.select("size", "gram")), ["size", "gram"]).collect():  # as many grams at most, by language
+        by.setdefault((r["size"], r["gram"]), {})[r["lang"]] = r["n"]
+    kept = [(size, gram, counted) for (size, gram), counted in by.items()]
     return {"langs": sorted({x for _, _, c in kept for x in c}), "kept": sorted(kept, key=lambda x: x[:2]), "longest": longest}
 
 

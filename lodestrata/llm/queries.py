@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, langid, mixing, simhash, tokens, toxicity, warc
+from . import ann, host_rules, langid, mixing, simhash, tokens, toxicity, warc
 from .common import read
 
 
@@ -23,6 +23,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector among all others."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(rows, rows.where("vec_id % 20 = 0"))
+
+
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and host verdicts for every document."""
     out = host_rules.judge(read(spark, sf_dir, "documents"))
@@ -63,7 +69,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_host_rules": op3_host_rules, "op4_mix_sources": op4_mix_sources, "op6_token_files": op6_token_files, "op7_simhash": op7_simhash, "op8_warc": op8_warc, "op9_langid": op9_langid}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_ann": op2_ann, "op3_host_rules": op3_host_rules, "op4_mix_sources": op4_mix_sources, "op6_token_files": op6_token_files, "op7_simhash": op7_simhash, "op8_warc": op8_warc, "op9_langid": op9_langid}
 
 OP8_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),

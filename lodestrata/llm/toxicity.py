@@ -11,30 +11,53 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, let, words
 from .langid import bounded
 from .tokens import slices
 
 #: Bounds of what is learned: labelled documents of each class, and tokens with a score of their own.
 TRAIN_DOCS, TOKENS = 10_000, 50_000
-#: Strength of the Dirichlet prior in tokens; the z-score a token's log-odds need; the most a token scores; the most that a segment may be expected by chance.
-PRIOR, LEAST_Z, MOST, MAX_E = 1000.0, 3.0, 8.0, 0.05
+#: Strength of the Dirichlet prior in tokens, and its part that all have alike; the significance and size that a token's log-odds need; the most a token scores; the most that a segment may be expected by chance; the least that other tokens cost.
+PRIOR, PSEUDO, LEAST_G, LEAST_ODDS, MOST, MAX_E, LEAST_DRIFT = 1000.0, 0.5, 4.5, 1.5, 8.0, 0.1, 0.1
 THRESHOLD = 0.7
 TOKEN = re.compile(r"\w+")
 
 
+#: Lengths of the beginnings that stand in for tokens without a score of their own, longest first, and their mark.
+STEMS, STEM = (6, 5, 4), "*"
+#: Tokens whose scores a worker keeps.
+MEMO = 300_000
+
+
+def features(tokens: Counter) -> Counter:
+    """Counts of tokens and of the beginnings of longer ones (in documents; one with two such tokens counts twice)."""
+    out = Counter(tokens)
+    for t, n in tokens.items():
+        for size in STEMS:
+            if len(t) > size:
+                out[t[:size] + STEM] += n
+    return out
+
+
 def tokens_of(text: bytes | None) -> list[str]:
     return TOKEN.findall(text.decode().lower()) if text else []
 
 
 def log_odds(toxic: float, clean: float, all_toxic: float, all_clean: float, prior: float = PRIOR) -> tuple[float, float]:
-    """(log-odds, z-score) of a token's use in toxic against clean text, with a Dirichlet prior in proportion to its use in both."""
-    a = prior * (toxic + clean) / (all_toxic + all_clean)
+    """(log-odds, significance) of a token's use in toxic against clean documents.
+
+    The odds have a Dirichlet prior, in proportion to the token's use in both with PSEUDO of its own added. The
+    significance is the signed root of the likelihood ratio against equal use.
+    """
+    a = PSEUDO + prior * (toxic + clean) / (all_toxic + all_clean)
     yt, yc = toxic + a, clean + a
     odds = math.log(yt / (all_toxic + prior - yt)) - math.log(yc / (all_clean + prior - yc))
-    return odds, odds / math.sqrt(1 / yt + 1 / yc)
+    share, n = all_toxic / (all_toxic + all_clean), toxic + clean
+    g = sum(o * math.log(o / e) for o, e in ((toxic, n * share), (clean, n * (1 - share))) if o)
+    return odds, math.copysign(math.sqrt(max(0.0, 2 * g)), toxic - n * share)
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -74,15 +97,31 @@ class Model:
     k: float = 0.1
     slope: float = 0.0
     offset: float = -20.0
+    memo: dict[str, float] = field(default_factory=dict, repr=False)
+
+    def value(self, token: str) -> float:
+        """A token's score: its own, else its longest scored beginning's, else the drift."""
+        if (own := self.tokens.get(token)) is not None:
+            return own
+        for size in STEMS:
+            if len(token) > size and (stem := self.tokens.get(token[:size] + STEM)) is not None:
+                return stem
+        return self.other
+
+    def scores(self, tokens: list[str]) -> np.ndarray:
+        memo = self.memo
+        if len(memo) > MEMO:
+            memo.clear()
+        for t in set(tokens).difference(memo):
+            memo[t] = self.value(t)
+        return np.array([memo[t] for t in tokens], float)
 
     def passages(self, tokens: list[str]) -> list[tuple[int, int, float, float]]:
         """(start, end, score, expected by chance) of each significant segment, in words of the text."""
         if not tokens:
             return []
-        get, other = self.tokens.get, self.other
-        scores = np.array([get(t, other) for t in tokens])
         n = len(tokens)
-        found = [(a, b, s, self.k * n * math.exp(-self.decay * s)) for a, b, s in segments(scores)]
+        found = [(a, b, s, self.k * n * math.exp(-self.decay * s)) for a, b, s in segments(self.scores(tokens))]
         return [x for x in found if x[3] <= MAX_E]
 
     def total(self, tokens: list[str], found: list[tuple[int, int, float, float]] | None = None) -> float:
@@ -93,22 +132,63 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.offset + self.slope * total))))
 
 
-def _decay(p: np.ndarray, s: np.ndarray) -> float:
-    """The positive root of sum p exp(x s) = 1 for scores s of negative mean."""
-    low, high = 0.0, 1.0
-    f = lambda x: float((p * np.exp(x * s)).sum()) - 1
-    while f(high) < 0 and high < 64:
-        low, high = high, high * 2
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if f(mid) < 0 else (low, mid)
-    return max(high, 1e-3)
+def _extreme(clean: list[tuple[int, float]]) -> tuple[float, float]:
+    """(k, decay) that make the best segments (n tokens, score, 0 for none) of clean texts likeliest.
+
+    A text of n tokens has its best segment at or under x with probability exp(-k n exp(-decay x)); one without a segment
+    is known to be at or under 0 alone. For a given decay the best k has a closed form; the decay is found by trial.
+    """
+    n, x = (np.array(v, float) for v in zip(*clean, strict=True)) if clean else (np.ones(1), np.zeros(1))
+    hit = x > 0
+    if not hit.any():
+        return 1 / (n.sum() + 1), 1.0
+
+    def k_of(decay: float) -> float:
+        return hit.sum() / ((n[hit] * np.exp(-decay * x[hit])).sum() + n[~hit].sum())
+
+    def likelihood(decay: float) -> float:
+        k = k_of(decay)
+        tail = k * n * np.exp(-decay * x)
+        return float((np.log(k * n[hit] * decay) - decay * x[hit]).sum() - tail.sum())
+
+    decay = max(np.geomspace(0.05, 5, 200).tolist(), key=likelihood)
+    return float(k_of(decay)), float(decay)
+
+
+def _weighed(counts: DataFrame, toxic: Column, clean: Column, tokens: int) -> Model | None:
+    """A model of the tokens and beginnings with the most certain log-odds; None without tokens of either class."""
+    counts = counts.select("token", toxic.alias("toxic"), clean.alias("clean"))
+    all_toxic, all_clean = (float(x or 0) for x in counts.where(~F.endswith("token", F.lit(STEM))).agg(F.sum("toxic"), F.sum("clean")).first())
+    if not all_toxic or not all_clean:
+        return None
+    n = F.col("toxic") + F.col("clean")
+    a = F.lit(PSEUDO) + F.lit(PRIOR / (all_toxic + all_clean)) * n
+    yt, yc, share = F.col("toxic") + a, F.col("clean") + a, F.lit(all_toxic / (all_toxic + all_clean))
+    odds = F.log(yt / (F.lit(all_toxic + PRIOR) - yt)) - F.log(yc / (F.lit(all_clean + PRIOR) - yc))
+    part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
+    g = F.sqrt(F.greatest(F.lit(0.0), 2 * (part(F.col("toxic"), n * share) + part(F.col("clean"), n * (1 - share)))))
+    counts = counts.where(n > 0).select("token", yc.alias("yc"), odds.alias("odds"), g.alias("g"))
+    told = counts.where((F.col("g") >= LEAST_G) & (F.abs("odds") >= LEAST_ODDS)).orderBy(F.desc("g"), "token").limit(tokens).collect()
+    scored = {r["token"]: max(-MOST, min(MOST, r["odds"])) for r in told}
+    mean = sum(r["yc"] / (all_clean + PRIOR) * scored[r["token"]] for r in told if not r["token"].endswith(STEM))
+    drift = LEAST_DRIFT + max(0.0, mean)  # clean text's mean score lies about so far below zero
+    return Model({t: v - drift for t, v in scored.items()}, -drift)
+
+
+def _unlike(rows: DataFrame) -> DataFrame:
+    """The rows less most near copies, whose common words would pass for evidence: of those that share the least hash of
+    their three-word shingles, under either of two hashes, the one with the smallest key stays."""
+    least = lambda w, seed: F.array_min(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2), F.lit(seed))))
+    now = rows.withColumn("m", let(words(F.lower("text")), lambda w: F.struct(least(w, 1).alias("a"), least(w, 2).alias("b"))))
+    for side in ("a", "b"):
+        now = now.groupBy(F.col(f"m.{side}").alias("g")).agg(F.min_by(F.struct(*now.columns), "_k").alias("r")).select("r.*")
+    return cut(now.select("text", "toxic", "half"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", toxic: str = "toxic", train_docs: int = TRAIN_DOCS, tokens: int = TOKENS) -> Model:
-    """Fits a model on labelled documents: at most train_docs of each class, half for the tokens' log-odds and half for the calibration.
+    """Fits a model on labelled documents: at most train_docs of each class, all for the tokens' log-odds; a model of one half, tried on the other, gives the extreme-value parameters and the calibration.
 
-    labels holds key and toxic (0 or 1; other rows don't count, and of several rows for a key the largest does). The
+    Near copies in the sample count once. labels holds key and toxic (0 or 1; other rows don't count, and of several rows for a key the largest does). The
     sample's labels, of bounded number, are sent to the executors; its texts are counted there. With no label of either
     class the model finds nothing and scores every text near 0.
     """
@@ -119,44 +199,35 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     some = bounded(marks.where("_toxic = 1"), F.col("_label_key"), train_docs).unionByName(bounded(marks.where("_toxic = 0"), F.col("_label_key"), train_docs))
     half = F.pmod(F.xxhash64("_label_key", F.lit(7)), F.lit(2))
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("text")).join(F.broadcast(some), F.col("_k") == F.col("_label_key"))
-    rows = rows.select("text", F.col("_toxic").cast("int").alias("toxic"), half.cast("int").alias("half"))
-    first = rows.where("half = 0").select("text", "toxic")
+    rows = _unlike(rows.select("_k", "text", F.col("_toxic").cast("int").alias("toxic"), half.cast("int").alias("half")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = (Counter(), Counter())
+        seen: dict[tuple[int, int], Counter] = {(h, mark): Counter() for h in (0, 1) for mark in (0, 1)}
 
-        def out() -> pa.RecordBatch:
-            names = sorted(seen[0].keys() | seen[1].keys())
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][t] for t in names], pa.int64()), pa.array([seen[0][t] for t in names], pa.int64())], ["token", "toxic", "clean"])
+        def out() -> Iterator[pa.RecordBatch]:
+            for h in (0, 1):
+                clean, toxic = features(seen[h, 0]), features(seen[h, 1])
+                names = sorted(clean.keys() | toxic.keys())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([h] * len(names), pa.int32()), pa.array([toxic[t] for t in names], pa.int64()), pa.array([clean[t] for t in names], pa.int64())], ["token", "half", "toxic", "clean"])
+            for x in seen.values():
+                x.clear()
 
         for batch in batches:
-            marked = batch.column(1).to_pylist()
+            marked, halved = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for at, texts in slices(batch.column(0)):
-                for t, mark in zip(texts, marked[at:], strict=False):
-                    seen[mark].update(tokens_of(t))
-                if len(seen[0]) + len(seen[1]) > 300_000:
-                    yield out()
-                    seen[0].clear(), seen[1].clear()
-        yield out()
-
-    counts = first.mapInArrow(count, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).cache()
-    all_toxic, all_clean = (float(x or 0) for x in counts.agg(F.sum("toxic"), F.sum("clean")).first())
-    if not all_toxic or not all_clean:
-        counts.unpersist()
+                for i, t in enumerate(texts, at):
+                    seen[halved[i], marked[i]].update(set(tokens_of(t)))
+                if sum(map(len, seen.values())) > 200_000:
+                    yield from out()
+        yield from out()
+
+    sides = [F.sum(F.when(F.col("half") == h, F.col(c))).alias(f"{c}{h}") for h in (0, 1) for c in ("toxic", "clean")]
+    counts = cut(rows.select("text", "toxic", "half").mapInArrow(count, "token string, half int, toxic long, clean long").groupBy("token").agg(*sides).na.fill(0))
+    halves = [_weighed(counts, F.col("toxic0"), F.col("clean0"), tokens), _weighed(counts, F.col("toxic0") + F.col("toxic1"), F.col("clean0") + F.col("clean1"), tokens)]
+    if None in halves:
         return Model()
-    a = F.lit(PRIOR / (all_toxic + all_clean)) * (F.col("toxic") + F.col("clean"))
-    yt, yc = F.col("toxic") + a, F.col("clean") + a
-    odds = F.log(yt / (F.lit(all_toxic + PRIOR) - yt)) - F.log(yc / (F.lit(all_clean + PRIOR) - yc))
-    z = odds / F.sqrt(1 / yt + 1 / yc)
-    told = counts.select("token", "toxic", "clean", odds.alias("odds"), z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "token").limit(tokens).collect()
-    counts.unpersist()
-    scored = {r["token"]: max(-MOST, min(MOST, r["odds"])) for r in told}
-    share = {r["token"]: (r["clean"] + PRIOR * (r["clean"] + r["toxic"]) / (all_toxic + all_clean)) / (all_clean + PRIOR) for r in told}
-    p, s = np.array([share[t] for t in scored] + [max(0.0, 1 - sum(share.values()))]), np.array([*scored.values(), 0.0])
-    drift = max(0.05, float((p * s).sum()) + 0.05)  # the mean score of clean text lies this far below zero
-    model = Model({t: v - drift for t, v in scored.items()}, -drift)
-    model.decay = _decay(p, s - drift)
-    fitted = docs.sparkSession.sparkContext.broadcast(model)
+    trial, model = halves
+    fitted = docs.sparkSession.sparkContext.broadcast(trial)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,15 +235,13 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
             for _, texts in slices(batch.column(0)):
                 for t in texts:
                     words = tokens_of(t)
-                    scores = [x for *_, x in segments(np.array([fitted.value.tokens.get(w, fitted.value.other) for w in words]))] if words else []
+                    scores = [x for *_, x in segments(fitted.value.scores(words))] if words else []
                     n.append(len(words)), best.append(max(scores, default=0.0)), every.append(scores)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(every, pa.list_(pa.float64()))], ["toxic", "n", "best", "every"])
 
     seen = rows.where("half = 1").select("text", "toxic").mapInArrow(measure, "toxic int, n long, best double, every array<double>").collect()  # at most 2 * train_docs rows
     fitted.destroy()
-    # K: clean texts of n tokens hold a best segment over x with probability 1 - exp(-K n exp(-decay x)), whose likelihood this maximises
-    clean = [(r["n"], r["best"]) for r in seen if not r["toxic"] and r["n"]]
-    model.k = (len(clean) + 1) / (sum(n * math.exp(-model.decay * b) for n, b in clean) + 1) if clean else 1.0
+    trial.k, trial.decay = model.k, model.decay = _extreme([(r["n"], r["best"]) for r in seen if not r["toxic"] and r["n"]])
     weigh = (sizes[1] / max(1, sum(r["toxic"] for r in seen)), sizes[0] / max(1, sum(1 - r["toxic"] for r in seen)))
     x, y, w = [], [], []
     for r in seen:
