@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import storage
 
 #: Words whose ids a Python worker keeps at most, and bytes of text that it splits at once.
-CACHE_WORDS, SLICE_BYTES = 300_000, 1 << 20
+CACHE_WORDS, SLICE_BYTES = 1_000_000, 1 << 20
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -64,9 +64,10 @@ class WordEncoder:
         self.seen.update(zip(rest, self._ids([w.decode() for w in rest]), strict=True))
         if not plain:
             return
-        stems, ends = sorted({s for s, _ in plain.values()}), sorted({e for _, e in plain.values()})
+        every, ends = {s for s, _ in plain.values()}, sorted({e for _, e in plain.values()})
         end_ids = dict(zip(ends, self._ids([e.decode() for e in ends]), strict=True))
-        stem_ids: dict[bytes, bytes] = {}
+        stem_ids = {s: self.seen[s] for s in every & self.seen.keys()}
+        stems = sorted(every.difference(stem_ids))
         for i in range(0, len(stems), 20_000):
             some = stems[i : i + 20_000]
             e = self.bare.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0]
