@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +11,6 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than space and U+0009..U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[ \x09-\x0D]+"
-#: Rows of text that go to Python at once, at least (the byte limit of the session bounds long texts).
-HASH_SPAN = 1 << 64
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -86,3 +85,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(now, nodes.node == now.hi, "left").select("node", F.coalesce("lo", "node").alias("component"))
+
+
+def stash(df: DataFrame) -> tuple[DataFrame, str]:
+    """(the rows reread from a Parquet table in the shared folder, its path): columns that a later step doesn't use aren't read."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop_stash(spark: SparkSession, path: str) -> None:
+    """Deletes a table that stash wrote, once nothing reads it any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
