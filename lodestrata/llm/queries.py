@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, host_rules, langid, mixing, simhash, tokens, toxicity, warc
+from . import ann, host_rules, langid, mixing, passages, pieces, simhash, tokens, toxicity, warc
 from .common import read
 
 
@@ -69,7 +69,23 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_ann": op2_ann, "op3_host_rules": op3_host_rules, "op4_mix_sources": op4_mix_sources, "op6_token_files": op6_token_files, "op7_simhash": op7_simhash, "op8_warc": op8_warc, "op9_langid": op9_langid}
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled pieces of every document: how many, their checksum, and whether decoding gives the text back."""
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    same = pieces.decoded(F.col("pieces"), model).eqNullSafe(F.col("text"))
+    return coded.select("doc_id", (F.octet_length("pieces") / 2).cast("long").alias("n_pieces"), F.crc32("pieces").alias("pieces_crc32"), same.alias("lossless"))
+
+
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words and more that an earlier document holds."""
+    out = passages.repeated_passages(read(spark, sf_dir, "documents"))
+    return out.select(F.col("key").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("first_key").alias("first_doc_id"), F.col("first_start").alias("first_start_word"), F.col("first_end").alias("first_end_word"), F.col("matched").alias("matched_words"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_ann": op2_ann, "op3_host_rules": op3_host_rules, "op4_mix_sources": op4_mix_sources, "op5_pieces": op5_pieces, "op6_token_files": op6_token_files, "op7_simhash": op7_simhash, "op8_warc": op8_warc, "op9_langid": op9_langid, "op10_passages": op10_passages}
 
 OP8_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
