@@ -4,5 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+from lodestrata.plans import scalars, volumes
+
+MODULES = (scalars, volumes)
+QUERIES: dict[str, Callable] = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
