@@ -81,11 +81,11 @@ def sample_nearest(spark, sf_dir):
 
 def trilinear_sql(points_sql: str, keep: str, cells_sql: str = fx.VOX) -> str:
     """SQL of the trilinear value of points (keep, z, y, x)."""
-    return f"""SELECT {keep}, coalesce(sum(w * q.v), 0) AS val FROM (
+    return f"""SELECT {keep}, coalesce(sum(w * qv), 0) AS val FROM (
       SELECT {keep}, CAST(floor(z) AS INT) + dz AS cz, CAST(floor(y) AS INT) + dy AS cy, CAST(floor(x) AS INT) + dx AS cx,
         (CASE dz WHEN 1 THEN z - floor(z) ELSE 1 - (z - floor(z)) END) * (CASE dy WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE dx WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w
       FROM ({points_sql}) p, (SELECT CAST(a AS INT) AS dz FROM range(2) r(a)) da, (SELECT CAST(b AS INT) AS dy FROM range(2) r(b)) db, (SELECT CAST(c AS INT) AS dx FROM range(2) r(c)) dc
-    ) k LEFT JOIN ({cells_sql}) q ON q.z = cz AND q.y = cy AND q.x = cx GROUP BY {keep}"""
+    ) k LEFT JOIN (SELECT z AS qz, y AS qy, x AS qx, v AS qv FROM ({cells_sql})) q ON qz = cz AND qy = cy AND qx = cx GROUP BY {keep}"""
 
 
 @query("sample_trilinear", f"SELECT id, round(val, 4) AS val FROM ({trilinear_sql(POINTS, 'id')})")
