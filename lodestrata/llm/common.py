@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,6 +14,18 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[ \x09-\x0D]+"
 
 
+#: Rows and bytes that go to a Python worker at once at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Holds Arrow batches to BATCH_ROWS and BATCH_BYTES, so that a worker's memory doesn't grow with the length of texts."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.match(r"-?\d+", spark.conf.get(name) or "0")
+        if not now or not 0 < int(now.group()) <= most:
+            spark.conf.set(name, str(most))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The table as Spark's own reader gives it, so that any file system Spark knows will do."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .tokens import slices
 
 UNKNOWN = "und"
@@ -51,6 +51,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
 
     Counting is distributed; the commonest words and n-grams, at most words + longest * n_grams, come to the driver.
     """
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = bounded(rows, F.col(key), train_docs).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
@@ -158,6 +159,7 @@ def identify(docs: DataFrame, told: dict, text: str = "text", prefix: str = "lan
     Null text and text without a letter: und, score 0. Texts of unknown letters only: the first of the languages, by name.
     With nothing learned every text is und. The model, of bounded size, is sent to each executor once.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(told)
 
     @F.arrow_udf("struct<pred string, score double>")

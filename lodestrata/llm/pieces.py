@@ -9,14 +9,14 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, small_batches
 from .tokens import slices
 
 #: Temperature of the pieces' log-probabilities, seed, and distinct units whose lattices a worker keeps.
-ALPHA, SEED, KEPT = 1.0, 0, 600_000
+ALPHA, SEED, KEPT = 1.0, 0, 180_000
 #: Text between these is segmented by itself: no piece crosses from a character to a space after it, or a line break or tab.
 UNIT = re.compile(r" *[^ \n\t]+| +|[\n\t]")
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -80,8 +80,12 @@ class Lattice:
         return [x[i : i + LONGEST] for x in out for i in range(0, len(x), LONGEST)] if len(unit) > LONGEST else out
 
     def _learn(self, unit: str) -> tuple[int, ...]:
+        parts = self.parts(unit)
+        if len(parts) == 1:
+            own = self.last[unit] = (self._table(unit),)
+            return own
         nodes = []
-        for part in self.parts(unit):
+        for part in parts:
             if (at := self.part.get(part)) is None:
                 at = self.part[part] = self._table(part)
             nodes.append(at)
@@ -190,6 +194,8 @@ def sampled(text: Column, key: Column, model: str, alpha: float = ALPHA, seed: i
     The draw depends on key, seed and text only: reruns, other partitions and repeated rows agree.
     """
 
+    small_batches(SparkSession.active())
+
     @F.arrow_udf("binary")
     def of(texts: pa.Array, keys: pa.Array) -> pa.Array:
         own, seeds, out = lattice(model, alpha), keys.to_pylist(), []
@@ -204,6 +210,8 @@ def sampled(text: Column, key: Column, model: str, alpha: float = ALPHA, seed: i
 def decoded(ids: Column, model: str) -> Column:
     """The text that packed ids spell; null for null. decoded(sampled(text)) is text, whatever it holds."""
 
+    small_batches(SparkSession.active())
+
     @F.arrow_udf("string")
     def of(packed: pa.Array) -> pa.Array:
         own = lattice(model, ALPHA)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, fold
+from .common import connected_components, cut, fold, small_batches
 from .tokens import slices
 
 WIDTH = 64
@@ -111,6 +111,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     it has no other; first_hash is the text hash of the component's first row by key (null last) and text hash. Rows
     alike are one. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     t = F.col(text)
     fps = cut(docs.select(F.col(key).alias("key"), F.xxhash64(t).alias("text_hash"), fingerprint(t, shingle).alias("fp")))
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_hash")).alias("first")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import storage
+from .common import small_batches
 
 #: Words whose ids a Python worker keeps at most, and bytes of text that it splits at once.
 CACHE_WORDS, SLICE_BYTES = 1_000_000, 1 << 20
@@ -121,6 +122,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = None, tex
     in either order. An empty table gives a manifest without shards. Only key and text are read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or storage.new_folder(spark, "tokens")
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, words
+from .common import cut, let, small_batches, words
 from .langid import bounded
 from .tokens import slices
 
@@ -29,7 +29,7 @@ TOKEN = re.compile(r"\w+")
 #: Lengths of the beginnings that stand in for tokens without a score of their own, longest first, and their mark.
 STEMS, STEM = (6, 5, 4), "*"
 #: Tokens whose scores a worker keeps.
-MEMO = 300_000
+MEMO = 150_000
 
 
 def features(tokens: Counter) -> Counter:
@@ -192,6 +192,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     sample's labels, of bounded number, are sent to the executors; its texts are counted there. With no label of either
     class the model finds nothing and scores every text near 0.
     """
+    small_batches(docs.sparkSession)
     marks = labels.where(F.col(toxic).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_label_key")).agg(F.max(toxic).alias("_toxic"))
     sizes = {r[0]: r[1] for r in marks.groupBy("_toxic").agg(F.count("*")).collect()}
     if not sizes.get(0) or not sizes.get(1):
@@ -276,6 +277,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     Null text counts as empty: no passage, the probability of a text without one.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(f"struct<toxicity double, passages {PASSAGES}>")

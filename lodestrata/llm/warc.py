@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith
 
 from . import storage
+from .common import small_batches
 
 EPOCH = "1970-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -74,6 +75,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, page: str = "page_id
     the table of repeated digests is too large to send to all executors. An empty table makes no files.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     folder = folder or storage.new_folder(spark, "warc")
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
     rows = pages.select(F.col(page).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"))
