@@ -98,7 +98,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     aims = cut(aims.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")))
     verdict = thresholds(sizes, aims)
     # keyed by source and bucket: a source with a third of all rows is spread over its buckets
-    copies = F.when(F.col("source_size") > 0, F.col("whole") + F.when(F.col("h") < F.col("below"), 1).otherwise(0)).otherwise(0)
+    copies = F.when(F.col("source_size") > 0, F.least(F.col("whole") + F.when(F.col("h") < F.col("below"), 1).otherwise(0), F.lit(most))).otherwise(0)
     return sizes.join(verdict, ["skey", "b0"]).select("key", "h", "size", "source", "source_size", "target", copies.cast("long").alias("copies"))
 
 
