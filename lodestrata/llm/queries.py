@@ -100,4 +100,23 @@ SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
 FROM g
 """
 
-ORACLES: dict[str, str] = {"op8_warc": OP8_SQL}
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+r AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g), range(5) q(j) WHERE c > 1 GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ \x09-\x0D]') GROUP BY doc_id),
+c AS (SELECT w.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN r ON r.doc_id = w.doc_id LEFT JOIN l ON l.doc_id = w.doc_id),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
+h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE base_failed) AS DOUBLE) AS k FROM b WHERE source IS NOT NULL GROUP BY source),
+p AS (SELECT *, least(greatest(f / n, 1e-6), 1 - 1e-6) AS m FROM (SELECT CAST(count(*) AS DOUBLE) AS c, sum(n) AS n, sum(k) AS f, sum(k * k / n) AS sq, sum(n * n) AS sp FROM h)),
+e AS (SELECT *, CASE WHEN 1 - sp / (n * n) > 0 THEN (sq / n - m * m - m * (1 - m) * c / n * (1 - 1 / c)) / (1 - sp / (n * n)) ELSE 0 END AS x FROM p),
+s AS (SELECT m, CASE WHEN x > 0 THEN greatest(2, m * (1 - m) / x - 1) ELSE n END AS strength FROM e),
+v AS (SELECT source, (k + m * strength) / (n + strength) > 0.5 AS gone FROM h, s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(gone, false) AS kept
+FROM b LEFT JOIN v ON v.source = b.source
+"""
+
+ORACLES: dict[str, str] = {"op3_host_rules": OP3_SQL, "op8_warc": OP8_SQL}
