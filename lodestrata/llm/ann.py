@@ -60,10 +60,11 @@ class Index:
         place = np.argsort(np.argsort(-(x[q] @ self.centres.T), axis=1), axis=1)
         return int(np.sort(np.take_along_axis(place, true, axis=1).ravel())[int(np.ceil(recall * true.size)) - 1]) + 1
 
-    def visited(self, q: np.ndarray, n: int) -> np.ndarray:
-        """(queries, n): the cells whose centroids have the largest inner product with each query."""
-        n = min(n, len(self.centres))
-        return np.argpartition(-(q @ self.centres.T), n - 1, axis=1)[:, :n]
+    def visited(self, q: np.ndarray, n: int, sizes: np.ndarray, least: int) -> list[list[int]]:
+        """For each query the n cells whose centroids have the largest inner product with it, or as many more as hold least rows."""
+        order = np.argsort(-(q @ self.centres.T), axis=1, kind="stable")
+        need = (np.cumsum(sizes[order], axis=1) < least).sum(axis=1) + 1
+        return [row[: max(n, m)].tolist() for row, m in zip(order, need.tolist(), strict=True)]
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 0) -> np.ndarray:
@@ -143,6 +144,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id"
     indexed = cut(own.mapInArrow(index, f"id long, v {kind}, cell int, code binary"))
     sizes = {r[0]: r[1] for r in indexed.groupBy("cell").agg(F.count("*")).collect()}  # a row a cell, MOST_CELLS at most
     blocks = spark.sparkContext.broadcast(dealt(sizes))
+    held = spark.sparkContext.broadcast(np.array([sizes.get(c, 0) for c in range(len(model.centres))]))
     place = F.create_map(*[F.lit(x) for cell, (first, n) in blocks.value.items() for x in (cell, (first << 32) | n)])
     place = F.element_at(place, F.col("cell")).cast("long")
     indexed = indexed.withColumn("block", (F.shiftright(place, 32) + F.pmod(F.xxhash64("id"), place.bitwiseAND((1 << 32) - 1))).cast("int"))
@@ -152,7 +154,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id"
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)
                 rows, block, near = [], [], []
-                for row, visited in enumerate(sent.value.visited(_matrix(part.column(1)), n_visit).tolist()):
+                for row, visited in enumerate(sent.value.visited(_matrix(part.column(1)), n_visit, held.value, k + 1)):
                     to: dict[int, list[int]] = {}
                     for cell in visited:
                         first, n = blocks.value.get(cell, (0, 0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
@@ -35,15 +36,26 @@ def grams(word: str, n: int) -> list[str]:
 
 
 def bounded(rows: DataFrame, key: Column, bound: int, seed: int = 0) -> DataFrame:
-    """All rows, or bound of them with the smallest hash of key if there are more."""
+    """All rows, or about bound of them with the smallest hash of key if there are more; never more than bound.
+
+    Rows that share the hash at the edge, as a key with very many rows makes them, are taken up to what is left.
+    """
     h = F.xxhash64(key, F.lit(seed))
     n = rows.count()
     if n <= bound:
         return rows
     # 1.2 times the share leaves a few more rows than the bound for the exact cut among hashes alone
     share = min(1.0, 1.2 * bound / n + 1e-4)
-    edge = rows.select(h.alias("h")).where(F.col("h") <= F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))).orderBy("h").limit(bound).agg(F.max("h")).first()[0]
-    return rows.where(h <= F.lit(edge))
+    near = rows.select(h.alias("h")).where(F.col("h") <= F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))))
+    top = cut(near.orderBy("h").limit(bound + 1))
+    edge, under = top.agg(F.max("h"), F.count("*")).first()
+    if edge is None:  # every row's hash lies beyond: all have a few keys
+        return rows.limit(bound)
+    if under <= bound:
+        return rows.where(h <= F.lit(edge))
+    under = top.where(F.col("h") < F.lit(edge)).count()
+    some = rows.where(h < F.lit(edge))
+    return some if under >= bound // 2 else some.unionByName(rows.where(h == F.lit(edge)).limit(bound - under))
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", train_docs: int = TRAIN_DOCS, words: int = WORDS, n_grams: int = GRAMS, longest: int = LONGEST) -> dict:
@@ -94,7 +106,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     for r in counts.join(F.broadcast(top.select("size", "gram")), ["size", "gram"]).collect():  # as many grams at most, by language
         by.setdefault((r["size"], r["gram"]), {})[r["lang"]] = r["n"]
     kept = [(size, gram, counted) for (size, gram), counted in by.items()]
-    return {"langs": sorted({x for _, _, c in kept for x in c}), "kept": sorted(kept, key=lambda x: x[:2]), "longest": longest}
+    return {"id": uuid.uuid4().hex, "langs": sorted({x for _, _, c in kept for x in c}), "kept": sorted(kept, key=lambda x: x[:2]), "longest": longest}
 
 
 class Identifier:
@@ -164,7 +176,7 @@ def identify(docs: DataFrame, told: dict, text: str = "text", prefix: str = "lan
 
     @F.arrow_udf("struct<pred string, score double>")
     def of(texts: pa.Array) -> pa.Array:
-        key = str(sent._jbroadcast_id if hasattr(sent, "_jbroadcast_id") else id(sent.value))
+        key = sent.value["id"]
         if key not in _MODELS:
             _MODELS.clear()
             _MODELS[key] = Identifier(sent.value)

@@ -119,7 +119,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     groups = connected_components(links(nodes.select("fp"), max_bits))
     nodes = nodes.join(groups, nodes.fp == groups.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("group"))
     heads = nodes.groupBy("group").agg(F.min("first").alias("head"))
-    named = nodes.join(heads, "group").select("fp", F.col("head.key").alias("component"), F.col("head.text_hash").alias("first_hash"))
+    # cut, so that a fingerprint with very many copies leaves the last join with partitions that Spark may split
+    named = cut(nodes.join(heads, "group").select("fp", F.col("head.key").alias("component"), F.col("head.text_hash").alias("first_hash")))
     return fps.join(named, "fp").select("key", "text_hash", "fp", "component", "first_hash")
 
 

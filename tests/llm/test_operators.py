@@ -381,3 +381,14 @@ def test_repeated_passages(spark, docs, none):
 def test_cut_words():
     assert passages.without("a b  c\nd", [(1, 3)]) == "a d" and passages.without(" a b", [(0, 1)]) == " b" and passages.without("a b", [(0, 2)]) == ""
     assert passages.without("é a b", [(1, 2), (0, 2)]) == "b" and passages.without(None, [(0, 1)]) is None
+
+
+def test_bounded_samples(spark):
+    """Never over the bound, whole where it fits, and also where one key has most rows."""
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("x"))
+    for bound in (5000, 1500, 100, 1):
+        n = langid.bounded(rows, F.col("k"), bound).count()
+        assert n <= bound and (n == 3000 if bound == 5000 else n >= bound // 2)
+    one = spark.range(500).select(F.lit(None).cast("long").alias("k"))
+    assert langid.bounded(one, F.col("k"), 50).count() == 50
+    assert langid.bounded(one.limit(0), F.col("k"), 50).count() == 0
