@@ -20,7 +20,7 @@ UNKNOWN = "und"
 #: Bounds of what is learned: labelled documents, words, n-grams of each length, and the longest n-gram.
 TRAIN_DOCS, WORDS, GRAMS, LONGEST = 8_000, 60_000, 20_000, 5
 #: Bytes of one training document that are counted at a time; words whose vectors a worker keeps; words after which a longer text is no surer.
-KEPT, SURE = 200_000, 30
+KEPT, SURE = 400_000, 30
 _MODELS: dict[str, Identifier] = {}
 
 
@@ -136,22 +136,23 @@ class Identifier:
         if (row := self.index[0].get(w)) is not None:
             return self.logs[row]
         for n in range(min(self.longest, len(w) + 2), 0, -1):
-            if known := [r for g in grams(w, n) if (r := self.index[n].get(g)) is not None]:
-                return self.logs[known].mean(axis=0)
+            index = self.index[n]
+            if known := [index[g] for g in grams(w, n) if g in index]:
+                return np.add.reduce(self.logs[known]) / len(known)
         return np.zeros(len(self.langs))
 
     def _place(self, token: str) -> int:
-        runs = letter_runs(token.lower())
+        runs = letter_runs(token)
         at = self.memo[token] = len(self.memo)
         if at == len(self.vectors):
             self.vectors, self.letters = np.vstack([self.vectors, np.zeros_like(self.vectors)]), np.concatenate([self.letters, np.zeros_like(self.letters)])
-        self.vectors[at] = sum((self.word(w) for w in runs), np.zeros(len(self.langs)))
+        self.vectors[at] = self.word(runs[0]) if len(runs) == 1 else sum(map(self.word, runs), np.zeros(len(self.langs)))
         self.letters[at] = len(runs)
         return at
 
     def tell(self, text: bytes | None) -> tuple[str, float]:
         """(language, its share of the likelihood); und and 0 without letters."""
-        tokens = text.decode().split() if text else []
+        tokens = text.decode().lower().split() if text else []
         if len(self.memo) > KEPT:
             self.memo.clear()
         get, place = self.memo.get, self._place
