@@ -16,7 +16,7 @@ from .common import fold, small_batches
 from .tokens import slices
 
 #: Temperature of the pieces' log-probabilities, seed, and distinct units whose lattices a worker keeps.
-ALPHA, SEED, KEPT = 1.0, 0, 180_000
+ALPHA, SEED, KEPT = 1.0, 0, 350_000
 #: Text between these is segmented by itself: no piece crosses from a character to a space after it, or a line break or tab.
 UNIT = re.compile(r" *[^ \n\t]+| +|[\n\t]")
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -63,7 +63,8 @@ class Lattice:
 
     def clear(self) -> None:
         self.last: dict[str, tuple[int, ...]] = {}  # unit to its parts' last nodes
-        self.part: dict[str, int] = {}
+        self.at: dict[str, int] = {}  # the text from a part's start to a place, to its node
+        self.reach = [1.0]  # by node, the summed weight of the paths to it
         self.nodes = 1  # node 0 ends every walk
         self.new: tuple[list, list, list] = ([], [], [])
         self.table = (np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32))
@@ -80,62 +81,54 @@ class Lattice:
         return [x[i : i + LONGEST] for x in out for i in range(0, len(x), LONGEST)] if len(unit) > LONGEST else out
 
     def _learn(self, unit: str) -> tuple[int, ...]:
-        parts = self.parts(unit)
-        if len(parts) == 1:
-            own = self.last[unit] = (self._table(unit),)
-            return own
-        nodes = []
-        for part in parts:
-            if (at := self.part.get(part)) is None:
-                at = self.part[part] = self._table(part)
-            nodes.append(at)
-        own = self.last[unit] = tuple(nodes)
+        own = self.last[unit] = tuple(self.at.get(part) or self._table(part) for part in self.parts(unit))
         return own
 
     def _table(self, part: str) -> int:
         """Filters a part's lattice forward, adds it to the table and returns its last node.
 
-        Place j of the part is node base + j - 1; its pieces are those that end there, and the weight of all paths over
-        one is that of the paths to its start times its own.
+        What leads to a place depends on the text before it alone, so parts that begin alike share their nodes. A place's
+        pieces are those that end there, and the weight of all paths over one is that of the paths to its start times its own.
         """
         values, ids, to = self.new
-        get, tails, base, n = self.weight.get, self.tails, self.nodes, len(part)
-        reach, spelled = [1.0], []
-        for j in range(1, n + 1):
-            upto, total, i = [], 0.0, j - 1
+        get, tails, at, reach, n = self.weight.get, self.tails, self.at, self.reach, len(part)
+        places, j = [0], 1
+        while j <= n and (node := at.get(part[:j])) is not None:
+            places.append(node)
+            j += 1
+        for j in range(j, n + 1):
+            node, upto, total, i = self.nodes, [], 0.0, j - 1
             while i >= 0 and (s := part[i:j]) in tails:
                 if found := get(s):
-                    total += reach[i] * found[1]
+                    total += reach[places[i]] * found[1]
                     upto.append(total)
                     ids.append(found[0])
-                    to.append(base + i - 1 if i else 0)
+                    to.append(places[i])
                 i -= 1
+            codes: list[int] = []
             if part[j - 1] not in self.weight:
                 codes = [self.bytes.get(b, self.unknown) for b in part[j - 1].encode()]
-                total += reach[j - 1] * self.rare ** len(codes)
+                total += reach[places[j - 1]] * self.rare ** len(codes)
                 upto.append(total)
                 ids.append(codes[-1])
-                to.append(base + j - 2 if j > 1 else 0)
-                if len(codes) > 1:
-                    spelled.append((len(to) - 1, to[-1], codes))
-            node = base + j - 1
+                to.append(node + 1 if len(codes) > 1 else places[j - 1])
             values += [node + x / total for x in upto]
             values[-1] = node + 1.0
             reach.append(total)
-        node = base + n
-        for at, back, codes in spelled:  # a spelled character walks through nodes of its own
-            to[at] = node
-            for b in range(len(codes) - 2, -1, -1):
-                values.append(node + 1.0)
+            at[part[:j]] = node
+            places.append(node)
+            self.nodes = node + 1
+            for b in range(len(codes) - 2, -1, -1):  # a spelled character walks through nodes of its own
+                values.append(self.nodes + 1.0)
                 ids.append(codes[b])
-                to.append(node + 1 if b else back)
-                node += 1
-        self.nodes = node
-        return base + n - 1
+                to.append(self.nodes + 1 if b else places[j - 1])
+                reach.append(0.0)
+                self.nodes += 1
+        return places[-1]
 
     def sample(self, texts: list[str | None], seeds: list[int]) -> list[np.ndarray]:
         """Backward sampling: a segmentation of each text (ids), drawn with the random numbers of its seed alone."""
-        if len(self.last) > KEPT or self.nodes > 12 * KEPT:
+        if len(self.last) > KEPT or self.nodes > 2 * KEPT:
             self.clear()
         get, learn = self.last.get, self._learn
         found = [[n if (n := get(u)) is not None else learn(u) for u in UNIT.findall(" " + t)] if t else [] for t in texts]
