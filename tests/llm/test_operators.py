@@ -378,6 +378,40 @@ def test_repeated_passages(spark, docs, none):
     assert passages.cut_passages(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("gap", [10, 30, 40, 75, 150, 300])
+def test_two_passages_in_one_pair(spark, gap):
+    rng = random.Random(gap)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    a, b, line = own(60), own(60), own(9)
+    rows = [(1, a + own(gap) + b), (2, own(20) + a + own(gap) + b + own(20)), (3, line + own(20) + own(60)), (4, [])]
+    rows[3] = (4, line + own(20) + rows[2][1][29:])
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    found = [(r.key, r.start, r.end) for r in passages.repeated_passages(table).orderBy("key", "start").collect()]
+    assert found == ([(2, 20, 140 + gap)] if gap <= 30 else [(2, 20, 80), (2, 80 + gap, 140 + gap)]) + [(4, 29, 89)]
+    left = {r.doc_id: len(r.text.split()) for r in passages.cut_passages(table).collect()}
+    assert left[2] == (40 if gap <= 30 else 40 + gap) and left[4] == 29
+
+
+def test_split_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(200):
+        runs, i, j = [], 0, 0
+        for _ in range(rng.randint(1, 9)):
+            i, j, n = i + rng.randint(0, 30), j + rng.randint(0, 30), rng.randint(1, 70)
+            runs.append((i, j, n))
+            i, j = i + n, j + n
+        got = passages.split(runs, 50, 0.8)
+        fits = {}
+        for s, (i, j, n) in enumerate(runs):
+            for e in range(s, len(runs)):
+                end, m = runs[e], sum(r[2] for r in runs[s : e + 1])
+                if m >= 50 and m >= 0.8 * max(end[0] + end[2] - i, end[1] + end[2] - j) and n >= 4 and end[2] >= 4:
+                    fits[i, end[0] + end[2]] = m
+        assert all(fits[s, e] == m for s, e, _, _, m in got)
+        assert all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False))
+        assert all(any(s < ge and gs < e for gs, ge, *_ in got) for s, e in fits)
+
+
 def test_cut_words():
     assert passages.without("a b  c\nd", [(1, 3)]) == "a d" and passages.without(" a b", [(0, 1)]) == " b" and passages.without("a b", [(0, 2)]) == ""
     assert passages.without("é a b", [(1, 2), (0, 2)]) == "b" and passages.without(None, [(0, 1)]) is None
