@@ -392,6 +392,22 @@ def test_two_passages_in_one_pair(spark, gap):
     assert left[2] == (40 if gap <= 30 else 40 + gap) and left[4] == 29
 
 
+def test_passages_whose_seeds_are_first_elsewhere(spark):
+    rng = random.Random(11)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    p, q = own(60), own(360)
+    parts = lambda: [own(30) + p[:45] + own(30), own(30) + p[15:] + own(30)]
+    texts = [*parts(), own(30) + p + own(30), *parts(), own(40) + p + own(10)]
+    texts += [own(30) + q[at : at + 45] + own(30) for at in range(35, 335, 20)]
+    texts += [own(20) + q + own(20), own(33) + q + own(20)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    n = len(rows) - 1
+    assert (5, 40, 100, 2) in {(r.key, r.start, r.end, r.first_key) for r in got}
+    assert (n, 33, 393, n - 1, 20, 380) in {(r.key, r.start, r.end, r.first_key, r.first_start, r.first_end) for r in got}
+    assert {(r.key, r.first_key) for r in got} == {(5, 2), (n, n - 1)}
+
+
 def test_split_against_brute_force():
     rng = random.Random(3)
     for _ in range(200):
