@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-import re
-from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -15,23 +13,69 @@ from pyspark.sql import functions as F
 from .common import fold, small_batches
 from .tokens import slices
 
-#: Temperature of the pieces' log-probabilities, seed, and distinct units whose lattices a worker keeps.
-ALPHA, SEED, KEPT = 1.0, 0, 350_000
-#: Text between these is segmented by itself: no piece crosses from a character to a space after it, or a line break or tab.
-UNIT = re.compile(r" *[^ \n\t]+| +|[\n\t]")
+#: Temperature of the pieces' log-probabilities, seed, and characters whose lattices are built at once.
+ALPHA, SEED, RUN = 1.0, 0, 1 << 20
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-#: Characters after which a part without a break is cut all the same, so that no weight underflows: no real word is so long.
-LONGEST = 48
+#: Bits of a code point, and what stands where a part has no further character.
+POINT, NONE = 21, (1 << 21) - 1
 _LATTICES: dict[tuple[str, float], Lattice] = {}
 
 
+class Lookup:
+    """Small integers by 64-bit keys of 0 or more, for whole arrays at once; -1 for a key that isn't there."""
+
+    def __init__(self, items: dict[int, int]) -> None:
+        bits = max(4, (4 * len(items)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        keys, values = np.array(list(items.keys()), np.int64), np.array(list(items.values()), np.int32)
+        at = self._place(keys)
+        while len(keys):  # one of the keys that want a free place gets it, the others try the next place
+            free = self.keys[at] == -1
+            self.keys[at[free]], self.values[at[free]] = keys[free], values[free]
+            on = self.keys[at] != keys
+            self.values[at[~on]] = values[~on]
+            keys, values, at = keys[on], values[on], (at[on] + 1) & self.mask
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * MIX[0]) >> self.shift).view(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self._place(keys)
+        found = self.keys[at]
+        hit = found == keys
+        out = np.where(hit, self.values[at], np.int32(-1))
+        on = np.flatnonzero(~hit & (found != -1))
+        at = at[on]
+        while len(on):
+            at = (at + 1) & self.mask
+            found = self.keys[at]
+            hit = found == keys[on]
+            out[on[hit]] = self.values[at[hit]]
+            further = ~hit & (found != -1)
+            on, at = on[further], at[further]
+        return out
+
+
+class Table(NamedTuple):
+    """Filtered lattices, ready to sample: from a node, the first of its edges from first on whose cum is over a random number is taken."""
+
+    ends: np.ndarray  # each part's last node
+    begins: int  # nodes below this one begin a part
+    first: np.ndarray
+    cum: np.ndarray
+    ids: np.ndarray
+    to: np.ndarray
+
+
 class Lattice:
-    """The pieces of a model and the filtered lattices of the units met so far.
+    """The piece lattices of texts, built for many texts at once.
 
-    A lattice has a node for each place between characters. Filtering forward gives each node the summed weight of all
-    paths to it; sampling backward draws, at each node, one of the pieces that end there in proportion to
-    its weight and that of the paths to its start. Nodes of all units lie in one table: values holds, node by node,
-    the node's number plus the cumulated probabilities of its pieces, so that one sorted search draws for many nodes.
+    A text is cut wherever no piece holds the two characters at the cut, so its parts have lattices of their own; parts
+    that occur more than once share one. A lattice has a node for each place between characters. Filtering forward gives
+    each node the log of the summed weight of all paths to it, so that parts of any length neither underflow nor need
+    cutting; sampling backward draws, at each node, one of the pieces that end there in proportion to its weight and
+    that of the paths to its start.
 
     A model whose scores are log-probabilities is used as it is; a merge-rank model gives piece r of its normal pieces,
     in order, the log-probability -log(r + 2). Characters without a piece are spelled by byte pieces.
@@ -43,125 +87,179 @@ class Lattice:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         normal = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-        ranked = all(float(model.get_score(i)).is_integer() for i in normal)
-        self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in range(n) if model.is_byte(i)}
-        self.unknown = model.unk_id()
-        spelled = {i: model.id_to_piece(i).replace("▁", " ") for i in normal}
-        self.weight = {spelled[i]: (i, math.exp(alpha * (-math.log(r + 2) if ranked else model.get_score(i)))) for r, i in enumerate(normal)}
-        self.pairs = {s[k : k + 2] for s in self.weight for k in range(len(s) - 1)}
-        self.tails = {s[k:] for s in self.weight for k in range(len(s))}
-        if any(UNIT.match(s).group() != s for s in self.weight):
-            raise ValueError("a piece crosses a unit's end")
-        self.rare = (n + 2) ** -alpha if ranked else min(w for _, w in self.weight.values()) * math.exp(-10 * alpha)
+        scores = [float(model.get_score(i)) for i in normal]
+        ranked = all(s.is_integer() for s in scores)
+        logs = [alpha * (-np.log(r + 2) if ranked else s) for r, s in enumerate(scores)]
+        self.rare = -alpha * np.log(n + 2) if ranked else min(logs) - 10 * alpha  # of each byte of a spelled character
+        self.pieces = {model.id_to_piece(i).replace("▁", " "): (i, w) for i, w in zip(normal, logs, strict=True)}
+        self.bytes = np.full(256, model.unk_id(), np.int32)
         self.spelling = np.array([b""] * n, object)
-        for i, s in spelled.items():
+        for s, (i, _) in self.pieces.items():
             self.spelling[i] = s.encode()
-        for b, i in self.bytes.items():
-            self.spelling[i] = bytes([b])
+        for i in range(n):
+            if model.is_byte(i):
+                b = int(model.id_to_piece(i)[3:5], 16)
+                self.bytes[b], self.spelling[i] = i, bytes([b])
         self.dtype = np.dtype("<u2") if n <= 1 << 16 else np.dtype("<u4")
-        self.clear()
-
-    def clear(self) -> None:
-        self.last: dict[str, tuple[int, ...]] = {}  # unit to its parts' last nodes
-        self.at: dict[str, int] = {}  # the text from a part's start to a place, to its node
-        self.reach = [1.0]  # by node, the summed weight of the paths to it
-        self.nodes = 1  # node 0 ends every walk
-        self.new: tuple[list, list, list] = ([], [], [])
-        self.table = (np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32))
-
-    def parts(self, unit: str) -> list[str]:
-        """The unit cut wherever no piece holds the two characters at the cut: the lattices of the parts are independent."""
-        pairs, at = self.pairs, 0
-        out = []
-        for i in range(1, len(unit)):
-            if unit[i - 1 : i + 1] not in pairs:
-                out.append(unit[at:i])
-                at = i
-        out.append(unit[at:])
-        return [x[i : i + LONGEST] for x in out for i in range(0, len(x), LONGEST)] if len(unit) > LONGEST else out
-
-    def _learn(self, unit: str) -> tuple[int, ...]:
-        own = self.last[unit] = tuple(self.at.get(part) or self._table(part) for part in self.parts(unit))
-        return own
-
-    def _table(self, part: str) -> int:
-        """Filters a part's lattice forward, adds it to the table and returns its last node.
-
-        What leads to a place depends on the text before it alone, so parts that begin alike share their nodes. A place's
-        pieces are those that end there, and the weight of all paths over one is that of the paths to its start times its own.
-        """
-        values, ids, to = self.new
-        get, tails, at, reach, n = self.weight.get, self.tails, self.at, self.reach, len(part)
-        places, j = [0], 1
-        while j <= n and (node := at.get(part[:j])) is not None:
-            places.append(node)
-            j += 1
-        for j in range(j, n + 1):
-            node, upto, total, i = self.nodes, [], 0.0, j - 1
-            while i >= 0 and (s := part[i:j]) in tails:
-                if found := get(s):
-                    total += reach[places[i]] * found[1]
-                    upto.append(total)
-                    ids.append(found[0])
-                    to.append(places[i])
-                i -= 1
-            codes: list[int] = []
-            if part[j - 1] not in self.weight:
-                codes = [self.bytes.get(b, self.unknown) for b in part[j - 1].encode()]
-                total += reach[places[j - 1]] * self.rare ** len(codes)
-                upto.append(total)
-                ids.append(codes[-1])
-                to.append(node + 1 if len(codes) > 1 else places[j - 1])
-            values += [node + x / total for x in upto]
-            values[-1] = node + 1.0
-            reach.append(total)
-            at[part[:j]] = node
-            places.append(node)
-            self.nodes = node + 1
-            for b in range(len(codes) - 2, -1, -1):  # a spelled character walks through nodes of its own
-                values.append(self.nodes + 1.0)
-                ids.append(codes[b])
-                to.append(self.nodes + 1 if b else places[j - 1])
-                reach.append(0.0)
-                self.nodes += 1
-        return places[-1]
+        state: dict[str, int] = {}
+        for s in self.pieces:
+            for k in range(1, len(s) + 1):
+                state.setdefault(s[:k], len(state))
+        self.one = np.full(1 << POINT, -1, np.int32)  # state after a first character
+        self.after = Lookup({state[s[:-1]] << POINT | ord(s[-1]): i for s, i in state.items() if len(s) > 1})
+        self.joined = Lookup({ord(s[k]) << POINT | ord(s[k + 1]): 1 for s in self.pieces for k in range(len(s) - 1)})
+        self.id, self.log = np.full(len(state), -1, np.int32), np.zeros(len(state))
+        for s, i in state.items():
+            if len(s) == 1:
+                self.one[ord(s)] = i
+            if s in self.pieces:
+                self.id[i], self.log[i] = self.pieces[s]
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def cuts(self, points: np.ndarray) -> np.ndarray:
+        """Whether a part begins at each character but the first."""
+        return self.joined(points[:-1].astype(np.int64) << POINT | points[1:]) < 0
+
+    def distinct(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(one of each set of equal parts, the place of each part's in that list). Found by hash, and compared character by character."""
+        n = len(points)
+        if len(self.power) <= n:
+            bases = np.array([[0x9E3779B97F4A7C15], [pow(0x9E3779B97F4A7C15, -1, 1 << 64)]], np.uint64)
+            self.power, self.inverse = np.cumprod(np.repeat(bases, n + 1, axis=1), axis=1, dtype=np.uint64) * bases[::-1]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * self.power[:n], dtype=np.uint64)])
+        hashes = _mixed((sums[starts + sizes] - sums[starts]) * self.inverse[starts])
+        _, chosen, which = np.unique(hashes, return_index=True, return_inverse=True)
+        moved = np.repeat(starts[chosen[which]] - starts, sizes) + np.arange(n)
+        same = points[np.minimum(moved, n - 1)] == points
+        odd = np.flatnonzero(~np.logical_and.reduceat(same, starts) | (sizes != sizes[chosen[which]]))
+        which[odd] = len(chosen) + np.arange(len(odd))
+        return np.concatenate([chosen, odd]), which
+
+    def build(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Table:
+        """The lattices of parts, filtered forward. Nodes are numbered by place, then by part, the longest part first."""
+        order = np.argsort(-sizes, kind="stable")
+        longest = int(sizes[order[0]])
+        count = len(sizes) - np.searchsorted(sizes[order[::-1]], np.arange(longest + 2))  # parts with a node at each place
+        off = np.concatenate([[0], np.cumsum(count)])
+        n, begun = int(off[longest + 1]), starts[order]
+        char = np.full(n, NONE, np.int64)
+        for k in range(longest):
+            char[off[k] : off[k] + count[k + 1]] = points[begun[: count[k + 1]] + k]
+        place = np.repeat(np.arange(longest + 1), count[: longest + 1])
+        src = np.flatnonzero(char != NONE)
+        level = place[src] + 1
+        dst = off[level] + src - off[level - 1]
+        state = self.one[char[src]]
+        bare = np.flatnonzero((state < 0) | (self.id[state] < 0))
+        into, out_of, ids, logs = [dst[bare]], [src[bare]], [np.zeros(len(bare), np.int32)], [np.zeros(len(bare))]
+        on = state >= 0
+        while True:
+            src, dst, level, state = src[on], dst[on], level[on], state[on]
+            whole = np.flatnonzero(self.id[state] >= 0)
+            into.append(dst[whole]), out_of.append(src[whole]), ids.append(self.id[state[whole]]), logs.append(self.log[state[whole]])
+            if not len(dst):
+                break
+            state = self.after(state.astype(np.int64) << POINT | char[dst])
+            on = state >= 0
+            dst, level = np.where(on, off[np.minimum(level + 1, longest + 1)] + dst - off[level], 0), level + 1
+        # spelled characters: their bytes, last to first, lead through nodes of their own
+        walk, more_ids, more_to = [x.copy() for x in out_of], [], []
+        if len(bare):
+            code = char[out_of[0]]
+            size = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
+            logs[0] = self.rare * size
+            lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[size]
+            nth = [self.bytes[np.where(size == b + 1, lead | (code >> 6 * b), 0x80 | (code >> 6 * b & 63)) & 255] for b in range(4)]
+            ids[0] = nth[0]
+            behind, nodes = np.arange(len(bare)), n
+            for b in range(1, 4):
+                behind = behind[size[behind] > b]
+                new = nodes + np.arange(len(behind))
+                if b == 1:
+                    walk[0][behind] = new
+                else:
+                    more_to[-1][size[last] > b] = new
+                more_ids.append(nth[b][behind]), more_to.append(out_of[0][behind].copy())
+                nodes, last = nodes + len(behind), behind
+        many = np.bincount(np.concatenate(into), minlength=n)
+        first = np.concatenate([[0], np.cumsum(many)])
+        size = int(first[-1])
+        free, e_src, e_log = first[:-1].copy(), np.empty(size, np.int64), np.empty(size)
+        e_ids, e_to, cum = np.empty(size, np.int32), np.empty(size, np.int64), np.empty(size)
+        for d, s, w, i, x in zip(into, out_of, walk, ids, logs, strict=True):
+            slot = free[d]
+            e_src[slot], e_to[slot], e_ids[slot], e_log[slot] = s, w, i, x
+            free[d] += 1
+        reach = np.zeros(n)
+        for k in range(1, longest + 1):
+            a, b = off[k], off[k + 1]
+            at, edges, m = first[a:b] - first[a], slice(first[a], first[b]), many[a:b]
+            x = reach[e_src[edges]] + e_log[edges]
+            top = np.maximum.reduceat(x, at)
+            x = np.exp(x - np.repeat(top, m))
+            total = np.add.reduceat(x, at)
+            reach[a:b] = top + np.log(total)
+            x /= np.repeat(total, m)
+            cum[edges] = np.cumsum(x)
+            cum[edges] -= np.repeat(cum[edges][at] - x[at], m)
+        cum[first[off[1] + 1 :] - 1] = 2.0
+        ends = np.empty(len(sizes), np.int64)
+        ends[order] = off[sizes[order]] + np.arange(len(sizes))
+        extra = sum(len(x) for x in more_ids)
+        return Table(ends, int(count[0]), np.concatenate([first[:-1], size + np.arange(extra)]), np.concatenate([cum, np.full(extra, 2.0)]), np.concatenate([e_ids, *more_ids]), np.concatenate([e_to, *more_to]))
+
+    def draw(self, table: Table, node: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each part) of walks from node back to its part's start, with the random numbers of state."""
+        total = len(node)
+        part, parts, drawn, step = np.arange(total), [], [], 0
+        while len(node):
+            u = (_mixed(state + np.array([step], np.uint64) * MIX[1]) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            edge = table.first[node]
+            on = np.flatnonzero(u >= table.cum[edge])
+            while len(on):
+                edge[on] += 1
+                on = on[u[on] >= table.cum[edge[on]]]
+            parts.append(part), drawn.append(table.ids[edge].astype(self.dtype))
+            node = table.to[edge]
+            on = np.flatnonzero(node >= table.begins)
+            node, part, state, step = node[on], part[on], state[on], step + 1
+        many = np.zeros(total, np.int64)
+        for p in parts:
+            many[p] += 1
+        # the steps run from each part's end to its start: later ones come first
+        out, last = np.empty(int(many.sum()), self.dtype), np.cumsum(many) - 1
+        for s, (p, got) in enumerate(zip(parts, drawn, strict=True)):
+            out[last[p] - s] = got
+        return out, many
 
     def sample(self, texts: list[str | None], seeds: list[int]) -> list[np.ndarray]:
         """Backward sampling: a segmentation of each text (ids), drawn with the random numbers of its seed alone."""
-        if len(self.last) > KEPT or self.nodes > 2 * KEPT:
-            self.clear()
-        get, learn = self.last.get, self._learn
-        found = [[n if (n := get(u)) is not None else learn(u) for u in UNIT.findall(" " + t)] if t else [] for t in texts]
-        if self.new[0]:
-            self.table = tuple(np.concatenate([old, np.array(new, old.dtype)]) for old, new in zip(self.table, self.new, strict=True))
-            self.new = ([], [], [])
-        values, ids, to = self.table
-        found = [list(chain.from_iterable(x)) for x in found]
-        counts = np.array([len(x) for x in found], np.int64)
-        node = np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum()))
-        starts = np.cumsum(counts) - counts
-        place = np.arange(len(node), dtype=np.uint64) - np.repeat(starts, counts).astype(np.uint64)
-        state = _mixed(np.repeat(np.array(seeds, np.int64).view(np.uint64), counts) + (place + np.uint64(1)) * MIX[0])
-        unit, units, drawn, step = np.arange(len(node)), [], [], 0
-        while len(node):
-            with np.errstate(over="ignore"):
-                u = (_mixed(state + np.uint64(step) * MIX[1]) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.minimum(np.searchsorted(values, node + u, side="right"), len(values) - 1)
-            units.append(unit)
-            drawn.append(ids[edge].astype(self.dtype))
-            node = to[edge]
-            on = node > 0
-            node, unit, state, step = node[on], unit[on], state[on], step + 1
-        if not units:
-            return [np.zeros(0, self.dtype) for _ in texts]
-        # the steps run from each unit's end to its start: later ones come first
-        n_of = np.bincount(np.concatenate(units), minlength=int(counts.sum()))
-        at_end = np.cumsum(n_of)
-        out = np.empty(int(at_end[-1]), self.dtype)
-        for s, (which, got) in enumerate(zip(units, drawn, strict=True)):
-            out[at_end[which] - 1 - s] = got
-        edges = np.concatenate([[0], at_end])[np.concatenate([[0], np.cumsum(counts)])]
-        return [out[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+        full = [i for i, t in enumerate(texts) if t]
+        out = [np.zeros(0, self.dtype) for _ in texts]
+        if not full:
+            return out
+        points = np.frombuffer("".join([f" {texts[i]}" for i in full]).encode("utf-32-le"), np.uint32)
+        text_at = np.concatenate([[0], np.cumsum([len(texts[i]) + 1 for i in full])])
+        begins = np.concatenate([[True], *[self.cuts(points[i : i + RUN + 1]) for i in range(0, len(points) - 1, RUN)]])
+        begins[text_at[:-1]] = True
+        starts = np.flatnonzero(begins)
+        edges = np.append(starts, len(points))
+        of = np.searchsorted(starts, text_at)  # each text's first part
+        place = np.arange(len(starts)) - np.repeat(of[:-1], np.diff(of))
+        state = _mixed(np.repeat(np.array([seeds[i] for i in full], np.int64).view(np.uint64), np.diff(of)) + (place.astype(np.uint64) + np.uint64(1)) * MIX[0])
+        ids, many, a = [], [], 0
+        while a < len(starts):
+            b = max(a + 1, int(np.searchsorted(starts, starts[a] + RUN)))
+            some, at, sizes = points[edges[a] : edges[b]], starts[a:b] - starts[a], np.diff(edges[a : b + 1])
+            chosen, which = self.distinct(some, at, sizes)
+            table = self.build(some, at[chosen], sizes[chosen])
+            got, n = self.draw(table, table.ends[which], state[a:b])
+            ids.append(got), many.append(n)
+            a = b
+        drawn, upto = np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(many))])[of]
+        for i, a, b in zip(full, upto, upto[1:], strict=False):
+            out[i] = drawn[a:b]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(self.spelling[ids].tolist())[1:].decode() if len(ids) else ""

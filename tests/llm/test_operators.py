@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -305,9 +306,9 @@ def paths(lattice, unit):
         return [((), 1.0)]
     out = []
     for k in range(1, len(unit) + 1):
-        if unit[:k] in lattice.weight:
-            i, w = lattice.weight[unit[:k]]
-            out += [((i, *rest), w * v) for rest, v in paths(lattice, unit[k:])]
+        if unit[:k] in lattice.pieces:
+            i, w = lattice.pieces[unit[:k]]
+            out += [((i, *rest), math.exp(w) * v) for rest, v in paths(lattice, unit[k:])]
     return out
 
 
@@ -323,6 +324,54 @@ def test_sampled_pieces_follow_the_lattice():
         assert abs(drawn[p] / n - share) < 5 * math.sqrt(share / n) + 1e-4
 
 
+def boundaries(lattice, text):
+    """The exact probability that a piece ends at each place of a text, by sums over all paths in exact fractions of floats."""
+    whole = " " + text
+    n = len(whole)
+    edges = [(i, j, Fraction(math.exp(lattice.pieces[whole[i:j]][1]))) for i in range(n) for j in range(i + 1, min(n, i + 20) + 1) if whole[i:j] in lattice.pieces]
+    edges += [(i, i + 1, Fraction(math.exp(lattice.rare)) ** len(c.encode())) for i, c in enumerate(whole) if c not in lattice.pieces]
+    ahead, behind = [Fraction(0)] * (n + 1), [Fraction(0)] * (n + 1)
+    ahead[0] = behind[n] = Fraction(1)
+    for i, j, w in sorted(edges, key=lambda e: e[1]):
+        ahead[j] += ahead[i] * w
+    for i, j, w in sorted(edges, key=lambda e: -e[0]):
+        behind[i] += behind[j] * w
+    return [float(ahead[k] * behind[k] / ahead[n]) for k in range(1, n + 1)]
+
+
+@pytest.mark.parametrize("alpha", [0.3, 1.0, 2.0])
+@pytest.mark.parametrize("text", ["then" * 13, "http://the.other/" + "inthenation" * 6 + "漢then" + "is" * 20])
+def test_long_parts_follow_the_lattice(alpha, text):
+    model = pieces.Lattice(public_tokenizers.path("piece_bpe_32k.model"), alpha)
+    n, seen = 4000, np.zeros(len(text) + 1)
+    for drawn in model.sample([text] * n, list(range(n))):
+        raw = np.cumsum([len(model.spelling[i]) for i in drawn])
+        ends = np.cumsum([len(c.encode()) for c in " " + text])
+        seen += np.isin(ends, raw)
+    for got, share in zip(seen / n, boundaries(model, text), strict=True):
+        assert abs(got - share) < 5 * math.sqrt(share * (1 - share) / n) + 1e-3
+
+
+def test_parts_are_built_alike_in_any_company(monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = [r[1] for r in corpus()] + ["a" * 3000, "🙂é then", " ", "\n\n  x"]
+    whole = pieces.Lattice(path).sample(texts, list(range(len(texts))))
+    monkeypatch.setattr(pieces, "RUN", 50)  # long texts are built piecemeal
+    for i, (t, x) in enumerate(zip(texts, whole, strict=True)):
+        model = pieces.lattice(path, 1.0)
+        assert model.sample([t], [i])[0].tolist() == x.tolist() and model.decode(x) == (t or "")
+
+
+def test_equal_hashes_do_not_mix_parts(monkeypatch):
+    model = pieces.Lattice(public_tokenizers.path("piece_bpe_32k.model"))
+    monkeypatch.setattr(pieces, "_mixed", lambda x: x % np.uint64(3))
+    points = np.frombuffer(" and the in then and".encode("utf-32-le"), np.uint32)
+    starts = np.array([0, 4, 8, 11, 16])
+    chosen, which = model.distinct(points, starts, np.array([4, 4, 3, 5, 4]))
+    at = [" and", " the", " in", " then", " and"]
+    assert [at[chosen[w]] for w in which] == at
+
+
 def test_pieces_are_lossless_and_reproducible(spark, docs, none):
     path = public_tokenizers.path("piece_bpe_32k.model")
     coded = pieces.encode(docs, path)
