@@ -100,11 +100,38 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return nodes.join(now, nodes.node == now.hi, "left").select("node", F.coalesce("lo", "node").alias("component"))
 
 
+#: While this is on, Spark deletes a query's shuffle files when the query ends.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame) -> tuple[DataFrame, str]:
-    """(the rows reread from a Parquet table in the shared folder, its path): columns that a later step doesn't use aren't read."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    """(the rows reread from a Parquet table in the shared folder, its path): columns that a later step doesn't use aren't read.
+
+    Once the table is written, the shuffle files that led to it are of no use and go.
+    """
+    spark = df.sparkSession
+    path, before = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}", spark.conf.get(TIDY, "false")
+    spark.conf.set(TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(TIDY, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def row_of(df: DataFrame) -> Column:
+    """A row's columns as one struct named row, so that no name of theirs can clash with one of ours."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
+def single(df: DataFrame, *by: str) -> DataFrame:
+    """df with one row of those alike in the columns by. Only rows that have another such row are shuffled."""
+    twice = cut(df.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by))
+    if twice.isEmpty():
+        return df
+    twice = twice.select(F.struct(*by).alias("twice"))
+    same = F.struct(*by).eqNullSafe(F.col("twice"))
+    return df.join(twice, same, "left_anti").unionByName(df.join(twice, same, "left_semi").dropDuplicates(list(by)))
 
 
 def drop_stash(spark: SparkSession, path: str) -> None:
