@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, fold, small_batches
+from .common import connected_components, cut, drop_stash, row_of, small_batches, stash
 from .tokens import slices
 
 WIDTH = 64
@@ -21,16 +21,25 @@ SHINGLE, MAX_BITS, SEED = 3, 2, 42
 PAIRED = 64
 #: Shingles hashed at once, to bound memory on long texts.
 RUN = 1 << 16
+#: For links by similarity: words in a shingle, least similarity, segments of a fingerprint's every 64 bits, such 64 bits, and
+#: bits of all in which fingerprints of texts so alike differ at most (about a sixth on average).
+LIKE_SHINGLE, ALIKE, SEGMENTS, PARTS, APART = 5, 0.8, 3, 2, 40
 
 
 def fingerprint_of(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The text's fingerprint: bit b is set if over half of the shingles' XXH64 have it. Zero for a text without words."""
-    w = text.lower().split() if text else []
-    if not w:
-        return 0
-    parts: Iterable = zip(*[w[i:] for i in range(shingle)], strict=False) if len(w) >= shingle else [w]
+    return majority(shingle_hashes(text.lower().split() if text else [], shingle, seed))
+
+
+def shingle_hashes(w: list[bytes], shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; of the whole sequence if it is shorter, of none without words."""
+    parts: Iterable = zip(*[w[i:] for i in range(shingle)], strict=False) if len(w) >= shingle else [w] if w else []
     join, h = b" ".join, xxhash.xxh64_intdigest
-    hashes = np.array([h(join(p), seed) for p in parts], np.uint64)
+    return np.array([h(join(p), seed) for p in parts], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have, as a signed integer."""
     ones = np.zeros(WIDTH, np.int64)
     for i in range(0, len(hashes), RUN):
         bits = np.unpackbits(hashes[i : i + RUN].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -48,17 +57,17 @@ def fingerprint(text: Column, shingle: int = SHINGLE, seed: int = SEED) -> Colum
     return of(text)
 
 
-def bounds(max_bits: int) -> list[tuple[int, int]]:
+def bounds(max_bits: int, segments: int | None = None) -> list[tuple[int, int]]:
     """(first bit, width) of the segments: so few that of two fingerprints max_bits apart one segment differs by one bit at most."""
-    n = max(2, (max_bits + 2) // 2)
+    n = segments or max(2, (max_bits + 2) // 2)
     cuts = [round(i * WIDTH / n) for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def signatures(fp: Column, max_bits: int) -> Column:
+def signatures(fp: Column, max_bits: int, segments: int | None = None, part_no: int = 0) -> Column:
     """The one-wildcard variants of each segment: segment number, place of the wildcard and the other bits, in a long."""
     made = []
-    for s, (at, width) in enumerate(bounds(max_bits)):
+    for s, (at, width) in enumerate(bounds(max_bits, segments), part_no * (segments or 0)):
         part = F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1))
         made += [part.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << p))).bitwiseOR(F.lit((s << 38) | (p << 32))) for p in range(width)]
     return F.array(*made)
@@ -124,19 +133,101 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     return fps.join(named, "fp").select("key", "text_hash", "fp", "component", "first_hash")
 
 
-def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
-    """The documents less all but the first of each component (smallest key, null last, then text hash), with docs' own columns; of rows alike one stays."""
-    found = near_duplicates(docs, text, key, **how)
+def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = LIKE_SHINGLE, alike: float = ALIKE, segments: int = SEGMENTS, parts: int = PARTS, apart: int = APART) -> DataFrame:
+    """(key, text_hash, node, component, first_hash), one row a document: component is the smallest key reachable over texts
+    whose sets of shingles have at least alike of their union in common (Jaccard); first_hash as in near_duplicates.
+
+    Fingerprints have parts times 64 bits, each 64 in so many segments. Texts within 2 * parts * segments - 1 bits share a
+    one-wildcard signature; of others a share that falls with the distance does. Everything that shares a signature and is
+    within apart bits is a candidate, and every link is verified on the whole texts' sets. A signature's texts are first
+    compared with the least of them; of texts that this leaves in different components, every pair is compared then. So a
+    large group of copies that are all alike takes one comparison for each, and no link under a signature is lost.
+
+    Texts with the same words in a row (A-Z as a-z) are one node. A text shorter than a shingle is one shingle; null and
+    empty texts and those without words are one node without links. Null keys name a component only if it has no other.
+    Rows alike in key and text are one. Shingles are compared by 32 bits of their hashes. An empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
+    names = ["key", "text_hash", "node", "fp", "sh"]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in slices(batch.column(2)):
+                node, fps, sets = [], [], []
+                for t in texts:
+                    w = t.lower().split() if t else []
+                    h = shingle_hashes(w, shingle, SEED)
+                    node.append(int(np.uint64(xxhash.xxh64_intdigest(b" ".join(w), SEED)).view(np.int64)))
+                    fps.append([majority(h * np.uint64(2 * k + 1) ^ (h * np.uint64(2 * k + 1) >> np.uint64(29)) if k else h) for k in range(parts)])
+                    sets.append(np.unique(h.astype(np.uint32)).view(np.int32))
+                off = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(sets), pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(texts)], batch.column(1)[at : at + len(texts)], pa.array(node, pa.int64()), pa.array(fps, pa.list_(pa.int64())), lists], names)
+
+    tables = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        table, at = stash(df)
+        tables.append(at)
+        return table
+
+    parsed = kept(rows.mapInArrow(parse, f"key {kind}, text_hash long, node long, fp array<long>, sh array<int>"))
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_hash")).alias("first")
+    nodes = kept(parsed.groupBy("node").agg(first, F.max("fp").alias("fp")))
+    made = [signatures(F.col("fp")[k], 0, segments, k) for k in range(parts)]
+    sigs = nodes.select("node", "fp", F.explode(F.flatten(F.array(*made)) if parts > 1 else made[0]).alias("k"))
+
+    def near(a: Column, b: Column) -> Column:
+        return sum(F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(parts)) <= apart
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are alike."""
+        pairs = kept(pairs)
+        used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        used = used.join(nodes.select("node", "first"), "node").select("node", "first.key", "first.text_hash")
+        same = (F.col("p.node") == F.col("u.node")) & F.col("p.key").eqNullSafe(F.col("u.key")) & (F.col("p.text_hash") == F.col("u.text_hash"))
+        sets = kept(parsed.alias("p").join(used.alias("u"), same).select("p.node", "p.sh").dropDuplicates(["node"]))
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("sh").alias("y")), "b")
+        both = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("c"))
+        return kept(both.where((F.col("m") + F.col("n") > F.col("c")) & (F.col("c") >= alike * (F.col("m") + F.col("n") - F.col("c")))).select("a", "b"))
+
+    heads = sigs.groupBy("k").agg(F.min("node").alias("head"), F.max("node").alias("top"), F.count("*").alias("n")).where("head <> top")
+    heads = kept(heads.select("k", "head", "n"))  # a table, so that the join below may be split where a signature is very common
+    members = kept(sigs.join(heads, "k").select("k", "node", "fp", "head", "n"))
+    stars = members.where("node <> head").join(nodes.select(F.col("node").alias("head"), F.col("fp").alias("head_fp")), "head")
+    links = verified(stars.where(near(F.col("fp"), F.col("head_fp"))).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+    groups = connected_components(links)
+    members = kept(members.where("n > 2").join(groups, "node", "left").select("k", "node", "fp", F.coalesce("component", "node").alias("c")))
+    several = members.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k")
+    apart_still = kept(members.join(several, "k"))
+    x, y = apart_still.select("k", F.struct("node", "fp", "c").alias("x")), apart_still.select("k", F.struct("node", "fp", "c").alias("y"))
+    pairs = x.join(y, "k").where((F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & near(F.col("x.fp"), F.col("y.fp")))
+    links = links.union(verified(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()))
+    groups = connected_components(links)
+    named = nodes.join(groups, "node", "left").select("node", "first", F.coalesce("component", "node").alias("group"))
+    lead = named.groupBy("group").agg(F.min("first").alias("head"))
+    named = kept(named.join(lead, "group").select("node", F.col("head.key").alias("component"), F.col("head.text_hash").alias("first_hash")))
+    out, _ = stash(parsed.select("key", "text_hash", "node").join(named, "node").select("key", "text_hash", "node", "component", "first_hash"))
+    for at in tables:
+        drop_stash(spark, at)
+    return out
+
+
+def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", found: DataFrame | None = None, **how) -> DataFrame:
+    """The documents less all but the first of each component (smallest key, null last, then text hash), with docs' own columns; of rows alike one stays.
+
+    found has the components: near_duplicates(docs, text, key, **how) unless given, as similar gives them.
+    """
+    found = near_duplicates(docs, text, key, **how) if found is None else found
     first = found.where(F.col("key").eqNullSafe(F.col("component")) & (F.col("text_hash") == F.col("first_hash")))
-    first = cut(first.groupBy("key", "text_hash").agg(F.count("*").alias("n")))
-    h = fold("text_hash", docs.columns)
-    hashed = docs.withColumn(h, F.xxhash64(F.col(text)))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-
-    def rows(some: DataFrame) -> DataFrame:
-        some = some.select(F.col("key").alias("_first_key"), F.col("text_hash").alias("_first_hash"))
-        return hashed.join(some, hashed[key].eqNullSafe(some["_first_key"]) & (hashed[h] == some["_first_hash"]))
-
-    if first.where("n > 1").isEmpty():
-        return rows(first).select(*own)
-    return rows(first.where("n = 1")).select(*own).unionByName(rows(first.where("n > 1")).dropDuplicates([key, h]).select(*own))
+    first = cut(first.groupBy("key", "text_hash").agg(F.count("*").alias("n")).select(F.struct("*").alias("first")))
+    hashed = docs.select(row_of(docs), F.xxhash64(F.col(text)).alias("hash"))
+    same = F.col("row")[key].eqNullSafe(F.col("first.key")) & (F.col("hash") == F.col("first.text_hash"))
+    out = hashed.join(first.where("first.n = 1"), same).select("row")
+    if not first.where("first.n > 1").isEmpty():
+        twice = hashed.join(first.where("first.n > 1"), same).select("row", F.col("row")[key].alias("key"), "hash")
+        out = out.union(twice.dropDuplicates(["key", "hash"]).select("row"))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -491,3 +491,40 @@ def test_bounded_samples(spark):
     one = spark.range(500).select(F.lit(None).cast("long").alias("k"))
     assert langid.bounded(one, F.col("k"), 50).count() == 50
     assert langid.bounded(one.limit(0), F.col("k"), 50).count() == 0
+
+
+def shingle_set(text, n=5):
+    w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    w = WORD.findall(w)
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)}
+
+
+def edited(rng, text, changes):
+    w = text.split()
+    for _ in range(changes):
+        w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_similar_against_brute_force(spark, docs, none):
+    rng = random.Random(4)
+    bases = [" ".join(f"w{rng.randrange(4000)}" for _ in range(rng.randint(80, 300))) for _ in range(60)]
+    texts = bases + [edited(rng, b, rng.randint(0, 6)) for b in bases for _ in range(3)]
+    texts += [edited(rng, bases[0], rng.randint(1, 5)) for _ in range(150)]  # a crowd, all different
+    texts += [None, "", " \n", "One two", "one  TWO", "one two three", bases[1].upper(), bases[1]]
+    rng.shuffle(texts)
+    rows = [(i, t, "a", "b", 1, 7, "k", "h", "w") for i, t in enumerate(texts)] + [(None, bases[2], "a", "b", 1, 7, "k", "h", "w"), (3, texts[3], "a", "b", 1, 7, "k", "h", "w")]
+    table = spark.createDataFrame(rows, SCHEMA)
+    sets = [shingle_set(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    roots = union(len(texts), links)
+    found = simhash.similar(table)
+    got = {r.key: r.component for r in found.where("key IS NOT NULL").collect()}
+    assert got.keys() == set(range(len(texts)))
+    assert all(roots[i] == roots[c] for i, c in got.items())  # nothing is linked that isn't alike
+    assert sum(got[i] == got[j] for i, j in links) >= 0.9 * len(links)
+    crowd = Counter(got.values()).most_common(1)[0][1]
+    assert crowd >= 0.95 * max(Counter(roots).values())
+    kept = simhash.keep_first(table, found=found)
+    assert kept.columns == table.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
+    assert simhash.similar(none).count() == 0 and simhash.similar(docs).count() >= docs.select("doc_id", "text").distinct().count()
