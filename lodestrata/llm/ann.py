@@ -105,7 +105,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 FOUND = "query_id long, vec_id long, score double"
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", recall: float = RECALL, rerank: int = RERANK, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", recall: float | None = RECALL, rerank: int = RERANK, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows with the largest inner product found for each query, ties to the smaller key.
 
     Fitted on a bounded sample of train_rows; every usable row is indexed and every usable query is answered; a query's
@@ -114,7 +114,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id"
     sample shows it needs for recall; there, tables of its products with the codes rank all
     rows, and the best k * rerank are scored exactly, in double precision, on the original vectors held in the block.
     Vectors that are null, zero or hold null or non-finite components, rows with a null key and vectors of another length
-    than most take no part. Repeated keys are separate rows. Few rows: all cells are visited. No rows: no results.
+    than most take no part. recall None is exact: every cell is visited and every row reranked. Repeated keys are separate rows. Few rows: all cells are visited. No rows: no results.
     """
     spark = rows.sparkSession
     kind = rows.schema[vector].dataType.simpleString()
@@ -130,7 +130,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id"
     sample = _matrix(pa.Table.from_batches(bounded(own, F.col("id"), train_rows).select("v").toArrow().to_batches()).column(0).combine_chunks()) if n else np.zeros((0, d))
     cells = int(min(MOST_CELLS, max(1, n**0.5), max(1, len(sample) // 8)))
     model = fit(sample, cells)
-    sent, n_visit = spark.sparkContext.broadcast(model), model.visits(sample, k, recall)
+    sent, n_visit = spark.sparkContext.broadcast(model), len(model.centres) if recall is None else model.visits(sample, k, recall)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,9 +145,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id"
     sizes = {r[0]: r[1] for r in indexed.groupBy("cell").agg(F.count("*")).collect()}  # a row a cell, MOST_CELLS at most
     blocks = spark.sparkContext.broadcast(dealt(sizes))
     held = spark.sparkContext.broadcast(np.array([sizes.get(c, 0) for c in range(len(model.centres))]))
-    place = F.create_map(*[F.lit(x) for cell, (first, n) in blocks.value.items() for x in (cell, (first << 32) | n)])
-    place = F.element_at(place, F.col("cell")).cast("long")
-    indexed = indexed.withColumn("block", (F.shiftright(place, 32) + F.pmod(F.xxhash64("id"), place.bitwiseAND((1 << 32) - 1))).cast("int"))
+    place = spark.createDataFrame([(c, first, n) for c, (first, n) in blocks.value.items()], "cell int, first long, n long")
+    # rows alike are spread too: a key with very many rows is in all blocks of its cell
+    dealt_to = F.col("first") + F.pmod(F.xxhash64("id", F.spark_partition_id(), F.monotonically_increasing_id()), F.col("n"))
+    indexed = indexed.join(F.broadcast(place), "cell").select("id", "v", "cell", "code", dealt_to.cast("int").alias("block"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,7 +168,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id"
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(block, pa.int32()), pa.array(near, pa.list_(pa.int32()))], ["id", "v", "block", "near"])
 
     routed = asked.mapInArrow(route, f"id long, v {kind}, block int, near array<int>")
-    keep = k * rerank
+    keep = k * rerank if recall is not None else n
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]

@@ -13,13 +13,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, fold, row_of, small_batches
 from .tokens import slices
 
 UNKNOWN = "und"
 #: Bounds of what is learned: labelled documents, words, n-grams of each length, and the longest n-gram.
 TRAIN_DOCS, WORDS, GRAMS, LONGEST = 8_000, 60_000, 20_000, 5
-#: Bytes of one training document that are counted at a time; words whose vectors a worker keeps; words after which a longer text is no surer.
+#: Tokens whose vectors a worker keeps; words after which a longer text is no surer.
 KEPT, SURE = 400_000, 30
 _MODELS: dict[str, Identifier] = {}
 
@@ -167,8 +167,9 @@ class Identifier:
 
 
 def identify(docs: DataFrame, told: dict, text: str = "text", prefix: str = "lang_") -> DataFrame:
-    """Adds <prefix>pred and score to docs.
+    """Adds <prefix>pred and score to docs, with underscores before them if docs has such columns.
 
+    Texts of any length are read whole; rows alike get the same answer, and of languages that tie the first by name does.
     Null text and text without a letter: und, score 0. Texts of unknown letters only: the first of the languages, by name.
     With nothing learned every text is und. The model, of bounded size, is sent to each executor once.
     """
@@ -184,4 +185,6 @@ def identify(docs: DataFrame, told: dict, text: str = "text", prefix: str = "lan
         found = [_MODELS[key].tell(t) for _, some in slices(texts) for t in some]
         return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["pred", "score"])
 
-    return docs.withColumn("_told", of(F.col(text))).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_told.pred").alias(f"{prefix}pred"), F.col("_told.score").alias("score"))
+    out = docs.select(row_of(docs), of(F.col(text)).alias("told"))
+    made = [F.col(f"told.{c}").alias(fold(name, docs.columns)) for c, name in (("pred", f"{prefix}pred"), ("score", "score"))]
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns], *made)

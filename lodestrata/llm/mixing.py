@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fold, word_count
+from .common import cut, row_of, word_count
 
 #: Bits of a document's hash that one level of the histogram resolves, and the number of levels (48 bits in all).
 LEVEL_BITS = 12
@@ -104,8 +104,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **how) -> DataFrame:
     """The documents that the mix takes, as many times as it takes them, with docs' own columns."""
-    copies, h = fold("copies", docs.columns), fold("mix_h", docs.columns)
-    took = mix(docs, text, source, key, **how).where("copies > 0").select(F.col("key").alias("_mk"), F.col("h").alias("_mh"), F.col("copies").alias("_mc")).distinct()
-    hashed = docs.withColumn(h, F.shiftrightunsigned(F.xxhash64(F.col(key), F.col(text)), 64 - LEVELS * LEVEL_BITS))
-    out = hashed.join(took, hashed[key].eqNullSafe(took["_mk"]) & (hashed[h] == took["_mh"])).withColumnRenamed("_mc", copies)
-    return out.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    took = mix(docs, text, source, key, **how).where("copies > 0").select(F.struct("key", "h", "copies").alias("took")).distinct()
+    hashed = docs.select(row_of(docs), F.shiftrightunsigned(F.xxhash64(F.col(key), F.col(text)), 64 - LEVELS * LEVEL_BITS).alias("hash"))
+    out = hashed.join(took, F.col("row")[key].eqNullSafe(F.col("took.key")) & (F.col("hash") == F.col("took.h")))
+    out = out.select("row", F.explode(F.sequence(F.lit(1), F.col("took.copies").cast("int"))).alias("nth"))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])

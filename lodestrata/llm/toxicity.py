@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, small_batches, words
+from .common import cut, fold, let, row_of, small_batches, words
 from .langid import bounded
 from .tokens import slices
 
@@ -275,7 +275,8 @@ PASSAGES = "array<struct<start int, end int, score double, expected double>>"
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds toxicity (0 to 1), toxic (1 if that is THRESHOLD or more) and passages: every significant segment, in words (\\w+) of the text.
 
-    Null text counts as empty: no passage, the probability of a text without one.
+    Columns that docs has already get underscores before their names. Null text counts as empty: no passage, the
+    probability of a text without one. Texts of any length are read whole; rows alike get the same answer.
     """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -292,6 +293,6 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
         return pa.StructArray.from_arrays([pa.array(p, pa.float64()), pa.array(found, kind)], ["toxicity", "passages"])
 
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    out = docs.withColumn("_toxicity", of(F.col(text)))
-    return out.select(*own, F.col("_toxicity.toxicity").alias("toxicity"), (F.col("_toxicity.toxicity") >= THRESHOLD).cast("int").alias("toxic"), F.col("_toxicity.passages").alias("passages"))
+    out = docs.select(row_of(docs), of(F.col(text)).alias("found"))
+    made = {"toxicity": F.col("found.toxicity"), "toxic": (F.col("found.toxicity") >= THRESHOLD).cast("int"), "passages": F.col("found.passages")}
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns], *[c.alias(fold(name, docs.columns)) for name, c in made.items()])

@@ -296,6 +296,9 @@ def test_nearest_against_brute_force(spark):
         assert all(found[k][1] == pytest.approx(exact[q][found[k][0]], abs=1e-12) for k in found)
         assert [(-found[k][1], found[k][0]) for k in range(1, 11)] == sorted((-s, i) for i, s in found.values())
     assert hit / (10 * len(got)) >= 0.9
+    for r in ann.search(table, table.where("vec_id % 20 = 0"), 10, recall=None).collect():
+        order = [i for i in np.lexsort((np.arange(900), -exact[r.query_id])) if i != r.query_id]
+        assert r.score == pytest.approx(exact[r.query_id][order[r.rank - 1]], abs=1e-12)
     few = table.where("vec_id < 3")
     assert ann.search(few, few, 10).count() == 6 and ann.search(table.limit(0), table, 10).count() == 0
 
@@ -528,3 +531,17 @@ def test_similar_against_brute_force(spark, docs, none):
     kept = simhash.keep_first(table, found=found)
     assert kept.columns == table.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
     assert simhash.similar(none).count() == 0 and simhash.similar(docs).count() >= docs.select("doc_id", "text").distinct().count()
+
+
+def test_names_of_inputs_cannot_clash(spark):
+    """Columns named as the operators' own, or their results, come back as they were."""
+    names = ["_again", "_s", "_first_key", "_k", "_t", "_left", "_mk", "_mh", "_mc", "_toxicity", "toxicity", "toxic", "passages", "score", "lang_pred", "row", "took", "hash", "first", "cut", "copies", "text_hash", "told", "found"]
+    rng = random.Random(8)
+    rows = [(i, text_of(rng, 80), "en", "s", *range(100, 100 + len(names))) for i in range(6)] + [(6, None, "en", None, *range(100, 100 + len(names)))]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} int" for n in names))
+    told = langid.learn(table.select("doc_id", "text", "lang"))
+    outs = [mixing.mixed(table), passages.cut_passages(table), simhash.keep_first(table), simhash.keep_first(table, found=simhash.similar(table)), langid.identify(table, told), toxicity.score(table, toxicity.Model())]
+    for out in outs:
+        assert out.columns[: len(table.columns)] == table.columns and len(set(out.columns)) == len(out.columns)
+        for r in out.collect():
+            assert list(r)[4 : 4 + len(names)] == list(range(100, 100 + len(names)))
