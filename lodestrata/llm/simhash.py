@@ -178,7 +178,9 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: i
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_hash")).alias("first")
     nodes = kept(parsed.groupBy("node").agg(first, F.max("fp").alias("fp")))
     made = [signatures(F.col("fp")[k], 0, segments, k) for k in range(parts)]
-    sigs = nodes.select("node", "fp", F.explode(F.flatten(F.array(*made)) if parts > 1 else made[0]).alias("k"))
+    # a node makes many rows, and the table of nodes has few partitions: dealt anew, no task has more of them than its memory holds
+    spread = nodes.select("node", "fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node")
+    sigs = spread.select("node", "fp", F.explode(F.flatten(F.array(*made)) if parts > 1 else made[0]).alias("k"))
 
     def near(a: Column, b: Column) -> Column:
         return sum(F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(parts)) <= apart
