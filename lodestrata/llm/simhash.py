@@ -21,9 +21,9 @@ SHINGLE, MAX_BITS, SEED = 3, 2, 42
 PAIRED = 64
 #: Shingles hashed at once, to bound memory on long texts.
 RUN = 1 << 16
-#: For links by similarity: words in a shingle, least similarity, segments of a fingerprint's every 64 bits, such 64 bits, and
-#: bits of all in which fingerprints of texts so alike differ at most (about a sixth on average).
-LIKE_SHINGLE, ALIKE, SEGMENTS, PARTS, APART = 5, 0.8, 3, 2, 40
+#: For links by similarity: words in a shingle, least similarity, 64-bit words of a fingerprint, bits within which texts surely
+#: share a signature (9: five segments), and bits in which texts so alike differ at most (about a sixth of all on average).
+LIKE_SHINGLE, ALIKE, PARTS, SURE_BITS, APART = 5, 0.8, 2, 9, 40
 
 
 def fingerprint_of(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -57,18 +57,22 @@ def fingerprint(text: Column, shingle: int = SHINGLE, seed: int = SEED) -> Colum
     return of(text)
 
 
-def bounds(max_bits: int, segments: int | None = None) -> list[tuple[int, int]]:
-    """(first bit, width) of the segments: so few that of two fingerprints max_bits apart one segment differs by one bit at most."""
-    n = segments or max(2, (max_bits + 2) // 2)
-    cuts = [round(i * WIDTH / n) for i in range(n + 1)]
+def bounds(max_bits: int, width: int = WIDTH) -> list[tuple[int, int]]:
+    """(first bit, bits) of the segments: so few that of two fingerprints max_bits apart one segment differs by one bit at most."""
+    n = max(2, (max_bits + 2) // 2)
+    cuts = [round(i * width / n) for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def signatures(fp: Column, max_bits: int, segments: int | None = None, part_no: int = 0) -> Column:
-    """The one-wildcard variants of each segment: segment number, place of the wildcard and the other bits, in a long."""
+def signatures(words: list[Column], max_bits: int) -> Column:
+    """The one-wildcard variants of each segment of a fingerprint of 64-bit words: segment number, place of the wildcard and the other bits, in a long."""
     made = []
-    for s, (at, width) in enumerate(bounds(max_bits, segments), part_no * (segments or 0)):
-        part = F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1))
+    for s, (at, width) in enumerate(bounds(max_bits, WIDTH * len(words))):
+        word, first = divmod(at, WIDTH)
+        part = F.shiftrightunsigned(words[word], first)
+        if first + width > WIDTH:
+            part = part.bitwiseOR(F.shiftleft(words[word + 1], WIDTH - first))
+        part = part.bitwiseAND(F.lit((1 << width) - 1))
         made += [part.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << p))).bitwiseOR(F.lit((s << 38) | (p << 32))) for p in range(width)]
     return F.array(*made)
 
@@ -95,7 +99,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """
     if not 0 <= max_bits <= 2:
         raise ValueError("max_bits: 0 to 2")
-    sigs = fps.select("fp", F.explode(signatures(F.col("fp"), max_bits)).alias("k"))
+    sigs = fps.select("fp", F.explode(signatures([F.col("fp")], max_bits)).alias("k"))
     full = cut(sigs.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))
     members = cut(sigs.join(full.where(F.col("n") <= PAIRED).select("k"), "k"))
     pairs = members.select("k", F.col("fp").alias("a")).join(members.select("k", F.col("fp").alias("b")), "k").where("a < b")
@@ -133,15 +137,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     return fps.join(named, "fp").select("key", "text_hash", "fp", "component", "first_hash")
 
 
-def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = LIKE_SHINGLE, alike: float = ALIKE, segments: int = SEGMENTS, parts: int = PARTS, apart: int = APART) -> DataFrame:
+def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = LIKE_SHINGLE, alike: float = ALIKE, parts: int = PARTS, sure_bits: int = SURE_BITS, apart: int = APART) -> DataFrame:
     """(key, text_hash, node, component, first_hash), one row a document: component is the smallest key reachable over texts
     whose sets of shingles have at least alike of their union in common (Jaccard); first_hash as in near_duplicates.
 
-    Fingerprints have parts times 64 bits, each 64 in so many segments. Texts within 2 * parts * segments - 1 bits share a
-    one-wildcard signature; of others a share that falls with the distance does. Everything that shares a signature and is
-    within apart bits is a candidate, and every link is verified on the whole texts' sets. A signature's texts are first
-    compared with the least of them; of texts that this leaves in different components, every pair is compared then. So a
-    large group of copies that are all alike takes one comparison for each, and no link under a signature is lost.
+    Fingerprints have parts times 64 bits, cut into so few segments that texts within sure_bits share a one-wildcard
+    signature; of others a share that falls with the distance does. Everything that shares a signature and is
+    within apart bits is a candidate, and every link is verified on the whole texts' sets. Each text is first
+    compared with one other, the least under all of its signatures; then with the least under each that is in another
+    component; of texts that this leaves in different components, every pair under a signature is compared then. So a
+    large group of copies that are all alike takes about one comparison for each, and no link under a signature is lost.
 
     Texts with the same words in a row (A-Z as a-z) are one node. A text shorter than a shingle is one shingle; null and
     empty texts and those without words are one node without links. Null keys name a component only if it has no other.
@@ -177,10 +182,10 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: i
     parsed = kept(rows.mapInArrow(parse, f"key {kind}, text_hash long, node long, fp array<long>, sh array<int>"))
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_hash")).alias("first")
     nodes = kept(parsed.groupBy("node").agg(first, F.max("fp").alias("fp")))
-    made = [signatures(F.col("fp")[k], 0, segments, k) for k in range(parts)]
+    made = signatures([F.col("fp")[k] for k in range(parts)], sure_bits)
     # a node makes many rows, and the table of nodes has few partitions: dealt anew, no task has more of them than its memory holds
     spread = nodes.select("node", "fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node")
-    sigs = spread.select("node", "fp", F.explode(F.flatten(F.array(*made)) if parts > 1 else made[0]).alias("k"))
+    sigs = spread.select("node", "fp", F.explode(made).alias("k"))
 
     def near(a: Column, b: Column) -> Column:
         return sum(F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(parts)) <= apart
@@ -200,16 +205,20 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: i
     heads = kept(heads.select("k", "head", "n"))  # a table, so that the join below may be split where a signature is very common
     members = kept(sigs.join(heads, "k").select("k", "node", "fp", "head", "n"))
     stars = members.where("node <> head").join(nodes.select(F.col("node").alias("head"), F.col("fp").alias("head_fp")), "head")
-    links = verified(stars.where(near(F.col("fp"), F.col("head_fp"))).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
-    groups = connected_components(links)
-    members = kept(members.where("n > 2").join(groups, "node", "left").select("k", "node", "fp", F.coalesce("component", "node").alias("c")))
+    stars = kept(stars.where(near(F.col("fp"), F.col("head_fp"))).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+    groups = lambda: connected_components(links)
+    links = verified(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    of = groups()
+    by_a, by_b = (of.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    open_stars = stars.join(by_a, "a", "left").join(by_b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    links = kept(links.union(verified(open_stars.select("a", "b"))))
+    members = kept(members.where("n > 2").join(groups(), "node", "left").select("k", "node", "fp", F.coalesce("component", "node").alias("c")))
     several = members.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k")
     apart_still = kept(members.join(several, "k"))
     x, y = apart_still.select("k", F.struct("node", "fp", "c").alias("x")), apart_still.select("k", F.struct("node", "fp", "c").alias("y"))
     pairs = x.join(y, "k").where((F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & near(F.col("x.fp"), F.col("y.fp")))
     links = links.union(verified(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()))
-    groups = connected_components(links)
-    named = nodes.join(groups, "node", "left").select("node", "first", F.coalesce("component", "node").alias("group"))
+    named = nodes.join(groups(), "node", "left").select("node", "first", F.coalesce("component", "node").alias("group"))
     lead = named.groupBy("group").agg(F.min("first").alias("head"))
     named = kept(named.join(lead, "group").select("node", F.col("head.key").alias("component"), F.col("head.text_hash").alias("first_hash")))
     out, _ = stash(parsed.select("key", "text_hash", "node").join(named, "node").select("key", "text_hash", "node", "component", "first_hash"))

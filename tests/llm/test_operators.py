@@ -521,13 +521,15 @@ def test_similar_against_brute_force(spark, docs, none):
     sets = [shingle_set(t) for t in texts]
     links = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     roots = union(len(texts), links)
-    found = simhash.similar(table)
-    got = {r.key: r.component for r in found.where("key IS NOT NULL").collect()}
-    assert got.keys() == set(range(len(texts)))
-    assert all(roots[i] == roots[c] for i, c in got.items())  # nothing is linked that isn't alike
-    assert sum(got[i] == got[j] for i, j in links) >= 0.9 * len(links)
-    crowd = Counter(got.values()).most_common(1)[0][1]
-    assert crowd >= 0.95 * max(Counter(roots).values())
+    for sure_bits, recall, in_crowd in ((11, 0.9, 0.95), (simhash.SURE_BITS, 0.9, 0.8)):
+        found = simhash.similar(table, sure_bits=sure_bits)
+        got = {r.key: r.component for r in found.where("key IS NOT NULL").collect()}
+        assert got.keys() == set(range(len(texts)))
+        assert all(roots[i] == roots[c] for i, c in got.items())  # nothing is linked that isn't alike
+        hit = sum(got[i] == got[j] for i, j in links) / len(links)
+        crowd = Counter(got.values()).most_common(1)[0][1] / max(Counter(roots).values())
+        print(f"{sure_bits} bits: {hit:.3f} of {len(links)} links, {crowd:.3f} of the crowd")
+        assert hit >= recall and crowd >= in_crowd
     kept = simhash.keep_first(table, found=found)
     assert kept.columns == table.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
     assert simhash.similar(none).count() == 0 and simhash.similar(docs).count() >= docs.select("doc_id", "text").distinct().count()
