@@ -100,14 +100,14 @@ def block_quality(spark, sf_dir):
     return codec.per_block(tile_rows(spark, sf_dir), ["tile"], make, "tile long, psnr_ok boolean, smaller boolean")
 
 
-SMALL = f"SELECT * FROM ({fx.VOX}) WHERE z < 32 AND y < 32 AND x < 32"
+SMALL = fx.VOX
 
 
 def small_blocks(spark, sf_dir):
     from lodestrata.functions.keys import voxel_address
 
     a = voxel_address(F.col("z"), F.col("y"), F.col("x"))
-    rows = fx.vox(spark, sf_dir).where("z < 32 AND y < 32 AND x < 32")
+    rows = fx.vox(spark, sf_dir)
     return rows.select(*[c.alias(n) for n, c in a.items()], F.col("v").cast("double").alias("val"))
 
 
@@ -171,6 +171,6 @@ def garbage_decode(spark, sf_dir):
 
     @F.arrow_udf("boolean")
     def finite(pages: pa.Array) -> pa.Array:
-        return pa.array([bool(np.isfinite(codec.decode_masked(p[:512], 2.0, 16, 3)).all() and np.isfinite(codec.decode_tile(p[:512], 2.0, codec.PRESETS["rgb"])).all()) for p in pages.cast(pa.binary()).to_pylist()])
+        return pa.array([bool(np.isfinite(codec.decode_masked(p, 2.0, 16, 3)).all() and np.isfinite(codec.decode_tile(p, 2.0, codec.PRESETS["rgb"])).all()) for p in pages.cast(pa.binary()).to_pylist()])
 
     return fx.table(spark, sf_dir, "pages").select("page_id", finite("html").alias("finite"))

@@ -66,7 +66,7 @@ def chunk_verify(spark, sf_dir):
     def of(pages: pa.Array) -> pa.Array:
         out = []
         for p in pages.cast(pa.binary()).to_pylist():
-            image = sb.build_chunk({0: p[:50], 2: p[50:90] or b"x"})
+            image = sb.build_chunk({0: p[: len(p) // 2], 2: p[len(p) // 2 :] or b"x"})
             out.append({"whole": sb.Chunk(image).verify(), "damaged": sb.Chunk(image[:-1] + bytes([image[-1] ^ 1])).verify()})
         return pa.array(out, pa.struct([("whole", pa.bool_()), ("damaged", pa.bool_())]))
 
@@ -87,12 +87,12 @@ def chunk_garbage(spark, sf_dir):
     return fx.table(spark, sf_dir, "pages").select("page_id", of("html").alias("verified"))
 
 
-@query("chunk_source", "SELECT CAST(page_id // 100 AS INT) AS cz, CAST(page_id % 100 AS INT) AS k, sha256(substr(html, 1, 40)) AS digest FROM pages")
+@query("chunk_source", "SELECT CAST(page_id // 100 AS INT) AS cz, CAST(page_id % 100 AS INT) AS k, sha256(html) AS digest FROM pages")
 def chunk_source(spark, sf_dir):
     """Pages as blocks of chunk images, written and read by the data source."""
     spark.dataSource.register(sb.ChunkSource)
     at = folder(spark, "chunks")
-    rows = fx.table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 100).cast("int").alias("cz"), F.lit(0).alias("cy"), F.lit(0).alias("cx"), (F.col("page_id") % 100).cast("int").alias("k"), F.encode(F.substring("html", 1, 40), "UTF-8").alias("payload"))
+    rows = fx.table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 100).cast("int").alias("cz"), F.lit(0).alias("cy"), F.lit(0).alias("cx"), (F.col("page_id") % 100).cast("int").alias("k"), F.encode("html", "UTF-8").alias("payload"))
     rows.repartition("cz", "cy", "cx").write.format("lodestrata_chunks").option("path", at).mode("append").save()
     out = spark.read.format("lodestrata_chunks").option("path", at).load()
     return out.select("cz", "k", F.sha2("payload", 256).alias("digest"))
@@ -167,11 +167,11 @@ def region_strided(spark, sf_dir):
     return store.offsets_of(box, LOW, (2000, 50, 1)).select("z", "y", "x", "at")
 
 
-@query("volume_roundtrip", f"SELECT z, y, x FROM ({fx.VOX}) WHERE z BETWEEN 4 AND 23 AND y BETWEEN 2 AND 20 AND x BETWEEN 8 AND 30 AND z < 32 AND y < 32 AND x < 32")
+@query("volume_roundtrip", f"SELECT z, y, x FROM ({fx.VOX}) WHERE z BETWEEN 4 AND 23 AND y BETWEEN 2 AND 20 AND x BETWEEN 8 AND 30")
 def volume_roundtrip(spark, sf_dir):
     """A volume written as coded blocks and a box of it read back: material is where it was."""
     at = folder(spark, "volume")
-    voxels = fx.vox(spark, sf_dir).where("z < 32 AND y < 32 AND x < 32").withColumn("lod", F.lit(0))
+    voxels = fx.vox(spark, sf_dir).withColumn("lod", F.lit(0))
     store.write_volume(voxels, at, 2.0, chunk=16)
     return store.read_region(spark, at, 0, (4, 2, 8), (20, 19, 23), 2.0, chunk=16).where("v > 0").select("z", "y", "x")
 
@@ -295,7 +295,7 @@ def resolve_counts(spark, sf_dir):
     return resolve_classify(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("resolve_decode", "SELECT true AS mean_close, CAST(count(*) AS BIGINT) AS blocks FROM (SELECT DISTINCT z // 16, y // 16, x // 16 FROM ({}) WHERE z < 32 AND y < 32 AND x < 32)".format(fx.VOX))
+@query("resolve_decode", "SELECT true AS mean_close, CAST(count(*) AS BIGINT) AS blocks FROM (SELECT DISTINCT z // 16, y // 16, x // 16 FROM ({}))".format(fx.VOX))
 def resolve_decode(spark, sf_dir):
     """Missing blocks decoded: each block's mean is near that of its cells."""
     from .codecs import small_blocks

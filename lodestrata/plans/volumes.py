@@ -60,11 +60,11 @@ def ingest(spark, sf_dir):
     return out.groupBy("lod").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 
 
-POINTS = "SELECT l_orderkey * 10 + l_linenumber AS id, (l_partkey % 640) / 10.0 AS z, (l_suppkey % 630) / 10.0 - 0.5 AS y, l_quantity * 1.25 AS x FROM lineitem WHERE l_orderkey % 20 = 0"
+POINTS = "SELECT l_orderkey * 10 + l_linenumber AS id, (l_partkey % 640) / 10.0 AS z, (l_suppkey % 630) / 10.0 - 0.5 AS y, l_quantity * 1.25 AS x FROM lineitem"
 
 
 def points(spark, sf_dir):
-    rows = fx.table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0")
+    rows = fx.table(spark, sf_dir, "lineitem")
     return rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), ((F.col("l_partkey") % 640) / 10.0).alias("z"), ((F.col("l_suppkey") % 630) / 10.0 - 0.5).alias("y"), (F.col("l_quantity") * 1.25).alias("x"))
 
 
