@@ -64,30 +64,31 @@ def bounds(max_bits: int, width: int = WIDTH) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def signatures(words: list[Column], max_bits: int) -> Column:
-    """The one-wildcard variants of each segment of a fingerprint of 64-bit words: segment number, place of the wildcard and the other bits, in a long."""
+def segments(words: list[Column], max_bits: int) -> list[tuple[int, int, Column]]:
+    """(number, bits, value) of each segment of a fingerprint of 64-bit words."""
     made = []
     for s, (at, width) in enumerate(bounds(max_bits, WIDTH * len(words))):
         word, first = divmod(at, WIDTH)
         part = F.shiftrightunsigned(words[word], first)
         if first + width > WIDTH:
             part = part.bitwiseOR(F.shiftleft(words[word + 1], WIDTH - first))
-        part = part.bitwiseAND(F.lit((1 << width) - 1))
-        made += [part.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << p))).bitwiseOR(F.lit((s << 38) | (p << 32))) for p in range(width)]
-    return F.array(*made)
+        made.append((s, width, part.bitwiseAND(F.lit((1 << width) - 1))))
+    return made
 
 
-def _found_here(max_bits: int) -> Column:
-    """Whether the pair a, b, within max_bits, is to be reported under signature k: the first segment that differs by one bit at most."""
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    segment, place = F.shiftright("k", 38), F.shiftright("k", 32).bitwiseAND(F.lit(63))
-    ok = F.lit(False)
-    earlier = F.lit(True)
-    for s, (at, width) in enumerate(bounds(max_bits)):
-        part = F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << width) - 1))
+def signatures(words: list[Column], max_bits: int) -> Column:
+    """The one-wildcard variants of each segment of a fingerprint of 64-bit words: segment number, place of the wildcard and the other bits, in a long."""
+    return F.array(*[part.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << p))).bitwiseOR(F.lit((s << 38) | (p << 32))) for s, width, part in segments(words, max_bits) for p in range(width)])
+
+
+def _found_here(x: list[Column], k: Column, max_bits: int) -> Column:
+    """Whether two fingerprints that differ in the bits x are to be reported under their common signature k: the first segment that differs by one bit at most."""
+    segment, place = F.shiftright(k, 38), F.shiftright(k, 32).bitwiseAND(F.lit(63))
+    ok, earlier = F.lit(False), F.lit(True)
+    for s, _, part in segments(x, max_bits):
         ok = ok | ((segment == s) & earlier & ((part != 0) | (place == 0)))
         earlier = earlier & (F.bit_count(part) > 1)
-    return (F.bit_count(x) <= max_bits) & ok
+    return ok
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -103,7 +104,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     full = cut(sigs.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))
     members = cut(sigs.join(full.where(F.col("n") <= PAIRED).select("k"), "k"))
     pairs = members.select("k", F.col("fp").alias("a")).join(members.select("k", F.col("fp").alias("b")), "k").where("a < b")
-    pairs = pairs.where(_found_here(max_bits)).select("a", "b")
+    x = F.col("a").bitwiseXOR(F.col("b"))
+    pairs = pairs.where((F.bit_count(x) <= max_bits) & _found_here([x], F.col("k"), max_bits)).select("a", "b")
     hot = cut(sigs.join(full.where(F.col("n") > PAIRED).select("k"), "k").select("fp").distinct())
     if max_bits < 2:  # values at one bit would link too much; those that are equal but for one given bit won't
         value = F.array(*[F.col("fp").bitwiseAND(F.lit(~(1 << p) if p < 63 else (1 << 63) - 1)) for p in range(WIDTH)]) if max_bits else F.array("fp")
@@ -143,10 +145,11 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: i
 
     Fingerprints have parts times 64 bits, cut into so few segments that texts within sure_bits share a one-wildcard
     signature; of others a share that falls with the distance does. Everything that shares a signature and is
-    within apart bits is a candidate, and every link is verified on the whole texts' sets. Each text is first
-    compared with one other, the least under all of its signatures; then with the least under each that is in another
-    component; of texts that this leaves in different components, every pair under a signature is compared then. So a
-    large group of copies that are all alike takes about one comparison for each, and no link under a signature is lost.
+    within apart bits is a candidate, and every link is verified on the whole texts' sets. Texts are first compared with
+    the least text that has a whole segment in common with them; then, under each signature, one text of each component
+    with one of the least component; of texts that this leaves in different components, every pair under a signature is
+    compared then. So a large group of copies that are all alike takes about one comparison and a few rows for each, and
+    no link under a signature is lost.
 
     Texts with the same words in a row (A-Z as a-z) are one node. A text shorter than a shingle is one shingle; null and
     empty texts and those without words are one node without links. Null keys name a component only if it has no other.
@@ -182,10 +185,12 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: i
     parsed = kept(rows.mapInArrow(parse, f"key {kind}, text_hash long, node long, fp array<long>, sh array<int>"))
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_hash")).alias("first")
     nodes = kept(parsed.groupBy("node").agg(first, F.max("fp").alias("fp")))
-    made = signatures([F.col("fp")[k] for k in range(parts)], sure_bits)
-    # a node makes many rows, and the table of nodes has few partitions: dealt anew, no task has more of them than its memory holds
-    spread = nodes.select("node", "fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node")
-    sigs = spread.select("node", "fp", F.explode(made).alias("k"))
+    fp = [F.col("fp")[k] for k in range(parts)]
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def signed(of: DataFrame, *columns: str) -> DataFrame:
+        """A row for each signature k of each node; as that is many, the nodes are dealt anew, so that no task has more of them than its memory holds."""
+        return of.repartition(width, "node").select(*columns, F.explode(signatures(fp, sure_bits)).alias("k"))
 
     def near(a: Column, b: Column) -> Column:
         return sum(F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(parts)) <= apart
@@ -201,24 +206,43 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: i
         both = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("c"))
         return kept(both.where((F.col("m") + F.col("n") > F.col("c")) & (F.col("c") >= alike * (F.col("m") + F.col("n") - F.col("c")))).select("a", "b"))
 
-    heads = sigs.groupBy("k").agg(F.min("node").alias("head"), F.max("node").alias("top"), F.count("*").alias("n")).where("head <> top")
-    heads = kept(heads.select("k", "head", "n"))  # a table, so that the join below may be split where a signature is very common
-    members = kept(sigs.join(heads, "k").select("k", "node", "fp", "head", "n"))
-    stars = members.where("node <> head").join(nodes.select(F.col("node").alias("head"), F.col("fp").alias("head_fp")), "head")
-    stars = kept(stars.where(near(F.col("fp"), F.col("head_fp"))).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
-    groups = lambda: connected_components(links)
-    links = verified(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    of = groups()
-    by_a, by_b = (of.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    open_stars = stars.join(by_a, "a", "left").join(by_b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    links = kept(links.union(verified(open_stars.select("a", "b"))))
-    members = kept(members.where("n > 2").join(groups(), "node", "left").select("k", "node", "fp", F.coalesce("component", "node").alias("c")))
-    several = members.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k")
-    apart_still = kept(members.join(several, "k"))
+    def grouped(links: DataFrame) -> DataFrame:
+        """(node, fp, c): the nodes and the component c of each, its smallest node."""
+        return kept(nodes.select("node", "fp").join(connected_components(links).withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "fp", F.coalesce("component", "node").alias("c")))
+
+    def compared(members: DataFrame, links: DataFrame | None) -> DataFrame:
+        """links and those between heads and nodes of members that are alike: first with one head a node, then with those still in other components."""
+        heads = nodes.select(F.col("node").alias("head"), F.col("fp").alias("head_fp"))
+        stars = members.select("head", "node").where("node <> head").distinct().join(heads, "head").join(nodes.select("node", "fp"), "node")
+        stars = kept(stars.where(near(F.col("fp"), F.col("head_fp"))).select(F.col("head").alias("a"), F.col("node").alias("b")))
+        found = verified(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        found = kept(links.union(found)) if links is not None else found
+        of = connected_components(found)
+        by_a, by_b = (of.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+        rest = stars.join(by_a, "a", "left").join(by_b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+        return kept(found.union(verified(rest.select("a", "b"))))
+
+    # whole segments: a few rows a node
+    whole = nodes.select("node", F.explode(F.array(*[part.bitwiseOR(F.lit(s << 38)) for s, _, part in segments(fp, sure_bits)])).alias("k"))
+    heads = whole.groupBy("k").agg(F.min("node").alias("head"), F.max("node").alias("top")).where("head <> top")
+    heads = kept(heads.select("k", "head"))  # a table, so that the join below may be split where a segment is very common
+    links = compared(kept(whole.join(heads, "k")), None)
+    # signatures that several components share: one node of each
+    of = grouped(links)
+    shared = kept(signed(of, "c").groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("k", "lo", "n"))
+    members = kept(signed(of, "node", "c").groupBy("k", "c").agg(F.min("node").alias("node")).join(shared, "k"))
+    links = compared(members.where("c <> lo").join(members.where("c = lo").select("k", F.col("node").alias("head")), "k"), links)
+    # signatures that several components share still: all nodes, but where both of two have been compared
+    of = grouped(links)
+    several = members.where("n > 2").join(of.select("node", F.col("c").alias("now")), "node").groupBy("k").agg(F.min("now").alias("lo"), F.max("now").alias("hi"))
+    several = kept(several.where("lo <> hi").select("k"))
+    apart_still = kept(signed(of, "node", "fp", "c").join(several, "k"))
     x, y = apart_still.select("k", F.struct("node", "fp", "c").alias("x")), apart_still.select("k", F.struct("node", "fp", "c").alias("y"))
     pairs = x.join(y, "k").where((F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & near(F.col("x.fp"), F.col("y.fp")))
-    links = links.union(verified(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()))
-    named = nodes.join(groups(), "node", "left").select("node", "first", F.coalesce("component", "node").alias("group"))
+    differ = [F.col("x.fp")[k].bitwiseXOR(F.col("y.fp")[k]) for k in range(parts)]
+    pairs = pairs.where(_found_here(differ, F.col("k"), sure_bits))
+    links = links.union(verified(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))))
+    named = nodes.join(connected_components(links), "node", "left").select("node", "first", F.coalesce("component", "node").alias("group"))
     lead = named.groupBy("group").agg(F.min("first").alias("head"))
     named = kept(named.join(lead, "group").select("node", F.col("head.key").alias("component"), F.col("head.text_hash").alias("first_hash")))
     out, _ = stash(parsed.select("key", "text_hash", "node").join(named, "node").select("key", "text_hash", "node", "component", "first_hash"))
