@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -18,6 +18,8 @@ from lodestrata.operators import entropy, transform
 
 #: What decoded material is at least, relaxation factor and sweeps of the air fill.
 FLOOR, OMEGA, SWEEPS = 1.0, 1.6, 8
+#: Blocks that a task codes side by side; a batch of them takes some 32 MB for each array of 4096 numbers a block.
+LANES = 1024
 
 
 @dataclass(frozen=True)
@@ -44,37 +46,49 @@ def _steps(n: int, rank: int) -> np.ndarray:
     return 1 + quant.GAIN * (band / (rank * (n - 1))) ** quant.EXPONENT
 
 
-def _turn(block: np.ndarray, m: np.ndarray) -> np.ndarray:
-    for axis in range(block.ndim):
-        block = np.moveaxis(np.tensordot(m, block, axes=(1, axis)), 0, axis)
-    return block
+def _turn(blocks: np.ndarray, m: np.ndarray, rank: int) -> np.ndarray:
+    for axis in range(blocks.ndim - rank, blocks.ndim):
+        blocks = np.moveaxis(np.tensordot(m, blocks, axes=(1, axis)), 0, axis)
+    return blocks
 
 
-def forward(block: np.ndarray) -> np.ndarray:
-    return _turn(block, transform.matrix(block.shape[0]))
+def forward(blocks: np.ndarray, rank: int | None = None) -> np.ndarray:
+    """Coefficients of a block, or of many along the axes before the last rank ones."""
+    return _turn(blocks, transform.matrix(blocks.shape[-1]), rank or blocks.ndim)
 
 
-def inverse(block: np.ndarray) -> np.ndarray:
-    return _turn(block, transform.matrix(block.shape[0]).T)
+def inverse(blocks: np.ndarray, rank: int | None = None) -> np.ndarray:
+    return _turn(blocks, transform.matrix(blocks.shape[-1]).T, rank or blocks.ndim)
 
 
-def quantize(c: np.ndarray, q: float) -> np.ndarray:
-    step = q * _steps(c.shape[0], c.ndim)
+def quantize(c: np.ndarray, q: float, rank: int | None = None) -> np.ndarray:
+    step = q * _steps(c.shape[-1], rank or c.ndim)
     t = np.abs(c) / step
     return np.where(t < quant.DEAD_ZONE, 0, np.sign(c) * np.floor(t - quant.DEAD_ZONE + 1)).astype(np.int64)
 
 
-def dequantize(index: np.ndarray, q: float) -> np.ndarray:
-    step = q * _steps(index.shape[0], index.ndim)
+def dequantize(index: np.ndarray, q: float, rank: int | None = None) -> np.ndarray:
+    step = q * _steps(index.shape[-1], rank or index.ndim)
     return np.where(index == 0, 0.0, np.sign(index) * (np.abs(index) - 1 + quant.DEAD_ZONE + quant.RECON) * step)
 
 
 def encode_block(block: np.ndarray, q: float) -> bytes:
-    return entropy.encode_indices(quantize(forward(np.nan_to_num(block, nan=0.0, posinf=0.0, neginf=0.0)), q), block.shape[0], block.ndim)
+    return encode_many(block[None], q, block.ndim)[0]
+
+
+def encode_many(blocks: np.ndarray, q: float, rank: int) -> list[bytes]:
+    """encode_block of each of blocks, along the first axis."""
+    clean = np.nan_to_num(blocks, nan=0.0, posinf=0.0, neginf=0.0)
+    return entropy.encode_index_rows(quantize(forward(clean, rank), q, rank), blocks.shape[-1], rank)
 
 
 def decode_block(data: bytes, q: float, n: int, rank: int) -> np.ndarray:
-    return inverse(dequantize(entropy.decode_indices(data, n, rank).reshape((n,) * rank), q))
+    return decode_many([data], q, n, rank)[0]
+
+
+def decode_many(data: list[bytes], q: float, n: int, rank: int) -> np.ndarray:
+    """decode_block of each, along the first axis."""
+    return inverse(dequantize(entropy.decode_index_rows(data, n, rank).reshape((-1,) + (n,) * rank), q, rank), rank)
 
 
 def air_fill(block: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -102,9 +116,15 @@ def air_fill(block: np.ndarray, mask: np.ndarray) -> np.ndarray:
 
 def encode_masked(block: np.ndarray, mask: np.ndarray, q: float) -> bytes:
     """Length and bytes of the mask, then of the coefficients of the air-filled block."""
-    bits = entropy.encode_bits(mask.ravel().tolist())
-    coefs = encode_block(air_fill(block, mask), q)
-    return struct.pack("<I", len(bits)) + bits + struct.pack("<I", len(coefs)) + coefs
+    return encode_masked_many(block[None], mask[None], q)[0]
+
+
+def encode_masked_many(blocks: np.ndarray, masks: np.ndarray, q: float) -> list[bytes]:
+    """encode_masked of each of blocks, along the first axis."""
+    bits = entropy.encode_bit_rows(masks.reshape(len(masks), -1))
+    filled = np.stack([air_fill(b, m) for b, m in zip(blocks, masks, strict=True)])
+    coefs = encode_many(filled, q, blocks.ndim - 1)
+    return [struct.pack("<I", len(b)) + b + struct.pack("<I", len(c)) + c for b, c in zip(bits, coefs, strict=True)]
 
 
 def frames(data: bytes, n: int) -> list[bytes] | None:
@@ -124,52 +144,103 @@ def frames(data: bytes, n: int) -> list[bytes] | None:
 
 def decode_masked(data: bytes, q: float, n: int, rank: int) -> np.ndarray:
     """Air is exactly 0 and material FLOOR at least; what isn't framed right is all air."""
-    parts = frames(data, 2)
-    if parts is None:
-        return np.zeros((n,) * rank)
-    mask = np.array(entropy.decode_bits(parts[0], n**rank), bool).reshape((n,) * rank)
-    return np.where(mask, np.maximum(decode_block(parts[1], q, n, rank), FLOOR), 0.0)
+    return decode_masked_many([data], q, n, rank)[0]
+
+
+def decode_masked_many(data: list[bytes], q: float, n: int, rank: int) -> np.ndarray:
+    """decode_masked of each, along the first axis."""
+    out = np.zeros((len(data),) + (n,) * rank)
+    framed = [(i, parts) for i, parts in enumerate(frames(d, 2) for d in data) if parts is not None]
+    if framed:
+        at = [i for i, _ in framed]
+        mask = entropy.decode_bit_rows([p[0] for _, p in framed], n**rank).reshape((-1,) + (n,) * rank)
+        out[at] = np.where(mask, np.maximum(decode_many([p[1] for _, p in framed], q, n, rank), FLOOR), 0.0)
+    return out
 
 
 def encode_tile(planes: np.ndarray, q: float, preset: Preset) -> bytes:
     """Channels (c, n, n), each length-prefixed; colours are turned to luma and differences first."""
+    return encode_tiles(planes[None], q, preset)[0]
+
+
+def encode_tiles(tiles: np.ndarray, q: float, preset: Preset) -> list[bytes]:
+    """encode_tile of each of tiles, along the first axis."""
     if preset.colour:
-        r, g, b = planes
+        r, g, b = np.moveaxis(tiles, 1, 0)
         co = r - b
         t = b + co / 2
         cg = g - t
-        planes = np.stack([t + cg / 2, co, cg])
-    coded = [encode_block(p, q) for p in planes]
-    return b"".join(struct.pack("<I", len(c)) + c for c in coded)
+        tiles = np.stack([t + cg / 2, co, cg], axis=1)
+    coded = encode_many(tiles.reshape((-1,) + (preset.n,) * preset.rank), q, preset.rank)
+    framed = [struct.pack("<I", len(c)) + c for c in coded]
+    return [b"".join(framed[i : i + preset.channels]) for i in range(0, len(framed), preset.channels)]
 
 
 def decode_tile(data: bytes, q: float, preset: Preset) -> np.ndarray:
     """The channels again; zeros for data that isn't framed right."""
-    parts = frames(data, preset.channels)
-    if parts is None:
-        return np.zeros((preset.channels,) + (preset.n,) * preset.rank)
-    planes = np.stack([decode_block(p, q, preset.n, preset.rank) for p in parts])
+    return decode_tiles([data], q, preset)[0]
+
+
+def decode_tiles(data: list[bytes], q: float, preset: Preset) -> np.ndarray:
+    """decode_tile of each, along the first axis."""
+    out = np.zeros((len(data), preset.channels) + (preset.n,) * preset.rank)
+    framed = [(i, parts) for i, parts in enumerate(frames(d, preset.channels) for d in data) if parts is not None]
+    if not framed:
+        return out
+    tiles = decode_many([p for _, parts in framed for p in parts], q, preset.n, preset.rank).reshape((len(framed),) + out.shape[1:])
     if preset.colour:
-        y, co, cg = planes
+        y, co, cg = np.moveaxis(tiles, 1, 0)
         t = y - cg / 2
         b = t - co / 2
-        planes = np.stack([b + co, cg + t, b])
-    return planes
-
+        tiles = np.stack([b + co, cg + t, b], axis=1)
+    out[[i for i, _ in framed]] = tiles
+    return out
 
-def per_block(rows: DataFrame, block: list[str], make, schema: str) -> DataFrame:
-    """make(place of a block as a dict, its lin and val as arrays) to tuples, for every block of (block, lin, val) rows.
 
-    A block is one group of at most its number of places; groups are dealt over tasks by block.
+def dense_blocks(batches: Iterator[pa.RecordBatch], block: list[str], total: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, blocks): at most LANES blocks a time of rows (block, lin, val) that come sorted by block, as arrays of total places, 0 where no row is."""
+    keys, dense, held = np.zeros((LANES, len(block)), np.int64), np.zeros((LANES, total)), 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        at = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in block], axis=1).astype(np.int64)
+        lin, val = (b.column(c).to_numpy(zero_copy_only=False) for c in ("lin", "val"))
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1]).any(axis=1)
+        new[0] = not held or (at[0] != keys[held - 1]).any()
+        lane = held - 1 + np.cumsum(new)
+        start = 0
+        while start < len(at):
+            stop = int(np.searchsorted(lane, lanes))
+            keys[lane[start:stop]], dense[lane[start:stop], lin[start:stop]] = at[start:stop], val[start:stop]
+            if stop > start:
+                held = int(lane[stop - 1]) + 1
+            if stop < len(at):
+                yield keys[:held].copy(), dense[:held]
+                dense[:], lane, held = 0, lane - lanes, 0
+            start = stop
+    if held:
+        yield keys[:held].copy(), dense[:held]
+
+
+Made = tuple[np.ndarray, list]
+
+
+def per_block(rows: DataFrame, block: list[str], total: int, make: Callable[[np.ndarray], Made], schema: str) -> DataFrame:
+    """Rows that make gives for the blocks of (block, lin, val) rows, many blocks a call.
+
+    make takes an array (blocks, total) and returns the place of the block of each of its rows and its columns. A block's
+    columns are whole numbers, none null, and schema names them first. Blocks are dealt over tasks and held LANES at a time.
     """
-    names = [f.name for f in rows.sparkSession.createDataFrame([], schema).schema]
+    kinds = _arrow(schema)
 
-    def of(t: pa.Table) -> pa.Table:
-        at = {c: t[c][0].as_py() for c in block}
-        made = list(make(at, t["lin"].to_numpy(), t["val"].to_numpy()))
-        return pa.Table.from_pylist([dict(zip(names, [*at.values(), *m], strict=True)) for m in made], schema=_arrow(schema))
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, dense in dense_blocks(batches, block, total):
+            which, columns = make(dense)
+            every = [*keys[which].T, *columns]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(every, kinds, strict=True)], schema=kinds)
 
-    return rows.groupBy(*block).applyInArrow(of, schema)
+    return rows.select(*block, "lin", "val").repartition(*block).sortWithinPartitions(*block).mapInArrow(of, schema)
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -180,23 +251,32 @@ def _arrow(schema: str) -> pa.Schema:
 def encode_blocks(rows: DataFrame, block: list[str], q: float, n: int = 16, rank: int = 3) -> DataFrame:
     """(block, payload) of sparse blocks (block, lin, val): masked and coded. Blocks without material don't come up."""
 
-    def make(at: dict, lin: np.ndarray, val: np.ndarray) -> Iterator[tuple]:
-        dense = np.zeros(n**rank)
-        dense[lin] = val
-        mask = dense != 0
-        if mask.any():
-            yield (encode_masked(dense.reshape((n,) * rank), mask.reshape((n,) * rank), q),)
+    def make(dense: np.ndarray) -> Made:
+        which = np.flatnonzero((dense != 0).any(axis=1))
+        some = dense[which].reshape((-1,) + (n,) * rank)
+        return which, [encode_masked_many(some, some != 0, q) if which.size else []]
 
     kinds = dict(rows.dtypes)
     keys = ", ".join(f"{c} {'long' if kinds[c] == 'bigint' else kinds[c]}" for c in block)
-    return per_block(rows, block, make, f"{keys}, payload binary")
+    return per_block(rows, block, n**rank, make, f"{keys}, payload binary")
 
 
 def decode_blocks(coded: DataFrame, q: float, n: int = 16, rank: int = 3) -> DataFrame:
-    """coded with vox, the block's samples in linear order, in place of payload."""
-
-    @F.arrow_udf("array<double>")
-    def of(payloads: pa.Array) -> pa.Array:
-        return pa.array([None if p is None else decode_masked(p, q, n, rank).ravel().tolist() for p in payloads.to_pylist()], pa.list_(pa.float64()))
-
-    return coded.withColumn("vox", of("payload")).drop("payload")
+    """coded with vox, the block's samples in linear order, in place of payload; null for null."""
+    others = coded.drop("payload")
+    total = n**rank
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, LANES):
+                b = whole.slice(start, LANES)
+                payloads = b.column("payload")
+                there = payloads.is_valid().to_numpy(zero_copy_only=False)
+                vox = decode_masked_many(payloads.drop_null().to_pylist(), q, n, rank).ravel()
+                ends = np.concatenate([[0], np.cumsum(there) * total]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(vox), mask=pa.array(~there))
+                names = [c for c in b.schema.names if c != "payload"]
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], lists], names=[*names, "vox"])
+
+    schema = others.withColumn("vox", F.lit(None).cast("array<double>")).schema
+    return coded.select(*others.columns, "payload").mapInArrow(of, schema)

@@ -37,10 +37,16 @@ def range_coder_roundtrip(spark, sf_dir):
 
     @F.arrow_udf("binary")
     def through(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts.cast(pa.binary()).to_pylist():
-            bits = np.unpackbits(np.frombuffer(t, np.uint8)).tolist()
-            out.append(np.packbits(np.array(entropy.decode_bits(entropy.encode_bits(bits), len(bits)), np.uint8)).tobytes())
+        whole = texts.cast(pa.binary()).to_pylist()
+        sizes = np.array([len(t) for t in whole])
+        out: list[bytes] = [b""] * len(whole)
+        ranks = np.argsort(sizes, kind="stable")
+        for at in np.array_split(ranks, -(-len(ranks) // codec.LANES)):
+            long = int(sizes[at].max())
+            bits = np.unpackbits(np.stack([np.frombuffer(whole[i].ljust(long, b"\0"), np.uint8) for i in at]), axis=1)
+            back = np.packbits(entropy.decode_bit_rows(entropy.encode_bit_rows(bits), 8 * long), axis=1)
+            for i, row in zip(at, back, strict=True):
+                out[i] = row[: sizes[i]].tobytes()
         return pa.array(out, pa.binary())
 
     return fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(through("text"), 256).alias("digest"))
@@ -53,8 +59,8 @@ def range_coder_skew(spark, sf_dir):
 
     @F.arrow_udf("boolean")
     def under(part: pa.Array) -> pa.Array:
-        bits = [[int(x) for x in np.random.default_rng(p).random(20_000) < 0.1] for p in part.to_pylist()]
-        return pa.array([len(entropy.encode_bits(b)) * 8 / len(b) < 0.8 for b in bits])
+        bits = np.stack([np.random.default_rng(p).random(20_000) < 0.1 for p in part.to_pylist()])
+        return pa.array([len(b) * 8 / 20_000 < 0.8 for b in entropy.encode_bit_rows(bits)])
 
     return parts.select("part", under("part").alias("under"))
 
@@ -65,39 +71,34 @@ def tile_rows(spark, sf_dir):
 
 @query("coefficients_roundtrip", f"SELECT tile, CAST(v * 64 + u AS INT) AS lin, idx FROM ({IDX2}) WHERE idx <> 0")
 def coefficients_roundtrip(spark, sf_dir):
-    def make(at, lin, val):
-        idx = np.zeros(4096, np.int64)
-        idx[lin] = val
-        back = entropy.decode_indices(entropy.encode_indices(idx, 64, 2), 64, 2)
-        return [(int(i), int(back[i])) for i in np.flatnonzero(back)]
+    def make(dense):
+        back = entropy.decode_index_rows(entropy.encode_index_rows(dense, 64, 2), 64, 2)
+        which, lin = np.nonzero(back)
+        return which, [lin, back[which, lin]]
 
     rows = idx2(spark, sf_dir).select("tile", (F.col("v") * 64 + F.col("u")).cast("int").alias("lin"), F.col("idx").alias("val"))
-    return codec.per_block(rows, ["tile"], make, "tile long, lin int, idx int")
+    return codec.per_block(rows, ["tile"], 4096, make, "tile long, lin int, idx int")
 
 
 @query("block_indices", f"SELECT tile, count(*) AS nonzero, CAST(sum(abs(idx)) AS BIGINT) AS total FROM ({IDX2}) WHERE idx <> 0 GROUP BY tile")
 def block_indices(spark, sf_dir):
     """Indices read back from whole coded blocks, against those of the relational transform."""
 
-    def make(at, lin, val):
-        block = np.zeros(4096)
-        block[lin] = val
-        idx = entropy.decode_indices(codec.encode_block(block.reshape(64, 64), 1.0), 64, 2)
-        return [(int((idx != 0).sum()), int(np.abs(idx).sum()))]
+    def make(dense):
+        idx = entropy.decode_index_rows(codec.encode_many(dense.reshape(-1, 64, 64), 1.0, 2), 64, 2)
+        return np.arange(len(idx)), [(idx != 0).sum(axis=1), np.abs(idx).sum(axis=1)]
 
-    return codec.per_block(tile_rows(spark, sf_dir), ["tile"], make, "tile long, nonzero long, total long")
+    return codec.per_block(tile_rows(spark, sf_dir), ["tile"], 4096, make, "tile long, nonzero long, total long")
 
 
 @query("block_quality", "SELECT DISTINCT vec_id // 64 AS tile, true AS psnr_ok, true AS smaller FROM embeddings")
 def block_quality(spark, sf_dir):
-    def make(at, lin, val):
-        block = np.zeros(4096)
-        block[lin] = val
-        data = codec.encode_block(block.reshape(64, 64), 1.0)
-        mse = ((codec.decode_block(data, 1.0, 64, 2).ravel() - block) ** 2).mean()
-        return [(bool(mse == 0 or 10 * np.log10(255**2 / mse) >= 28), len(data) < 4096 * 4)]
+    def make(dense):
+        data = codec.encode_many(dense.reshape(-1, 64, 64), 1.0, 2)
+        mse = ((codec.decode_many(data, 1.0, 64, 2).reshape(dense.shape) - dense) ** 2).mean(axis=1)
+        return np.arange(len(dense)), [mse <= 255**2 / 10**2.8, [len(d) < 4096 * 4 for d in data]]
 
-    return codec.per_block(tile_rows(spark, sf_dir), ["tile"], make, "tile long, psnr_ok boolean, smaller boolean")
+    return codec.per_block(tile_rows(spark, sf_dir), ["tile"], 4096, make, "tile long, psnr_ok boolean, smaller boolean")
 
 
 SMALL = fx.VOX
@@ -138,31 +139,29 @@ def masked_quality(spark, sf_dir):
 def air_fill(spark, sf_dir):
     """Relaxation leaves material as it is and air near its bounds."""
 
-    def make(at, lin, val):
-        block = np.zeros(4096)
-        block[lin] = val
-        block = block.reshape(16, 16, 16)
-        out, mask = codec.air_fill(block, block != 0), block != 0
-        reach = np.ptp(val) + 1
-        return [(bool((out[mask] == block[mask]).all()), bool(out.min() > val.min() - reach and out.max() < val.max() + reach))]
+    def make(dense):
+        kept, within = [], []
+        for block in dense.reshape(-1, 16, 16, 16):
+            out, mask, val = codec.air_fill(block, block != 0), block != 0, block[block != 0]
+            reach = np.ptp(val) + 1
+            kept.append(bool((out[mask] == val).all()))
+            within.append(bool(out.min() > val.min() - reach and out.max() < val.max() + reach))
+        return np.arange(len(dense)), [kept, within]
 
-    return codec.per_block(small_blocks(spark, sf_dir), ["bz", "by", "bx"], make, "bz int, by int, bx int, kept boolean, within boolean")
+    return codec.per_block(small_blocks(spark, sf_dir), ["bz", "by", "bx"], 4096, make, "bz int, by int, bx int, kept boolean, within boolean")
 
 
 @query("rgb_quality", "SELECT DISTINCT CAST(p_partkey // 4096 AS BIGINT) AS tile, true AS ok FROM part")
 def rgb_quality(spark, sf_dir):
     rows = fx.rgb(spark, sf_dir).select(F.floor(F.col("p_partkey") / 4096).alias("tile"), (F.col("p_partkey") % 4096).cast("int").alias("lin"), (F.col("r") * 65536 + F.col("g") * 256 + F.col("b")).cast("double").alias("val"))
 
-    def make(at, lin, val):
-        planes = np.zeros((3, 4096))
-        v = val.astype(np.int64)
-        planes[:, lin] = np.stack([v >> 16, v >> 8 & 255, v & 255])
-        planes = planes.reshape(3, 64, 64)
-        p = codec.PRESETS["rgb"]
-        back = codec.decode_tile(codec.encode_tile(planes, 6.0, p), 6.0, p)
-        return [(bool(10 * np.log10(255**2 / ((back - planes) ** 2).mean()) >= 18),)]
+    def make(dense):
+        v, p = dense.astype(np.int64), codec.PRESETS["rgb"]
+        planes = np.stack([v >> 16, v >> 8 & 255, v & 255], axis=1).reshape(-1, 3, 64, 64).astype(float)
+        back = codec.decode_tiles(codec.encode_tiles(planes, 6.0, p), 6.0, p)
+        return np.arange(len(v)), [((back - planes) ** 2).mean(axis=(1, 2, 3)) <= 255**2 / 10**1.8]
 
-    return codec.per_block(rows, ["tile"], make, "tile long, ok boolean")
+    return codec.per_block(rows, ["tile"], 4096, make, "tile long, ok boolean")
 
 
 @query("garbage_decode", "SELECT page_id, true AS finite FROM pages")
@@ -171,6 +170,11 @@ def garbage_decode(spark, sf_dir):
 
     @F.arrow_udf("boolean")
     def finite(pages: pa.Array) -> pa.Array:
-        return pa.array([bool(np.isfinite(codec.decode_masked(p, 2.0, 16, 3)).all() and np.isfinite(codec.decode_tile(p, 2.0, codec.PRESETS["rgb"])).all()) for p in pages.cast(pa.binary()).to_pylist()])
+        whole, out = pages.cast(pa.binary()).to_pylist(), []
+        for at in range(0, len(whole), codec.LANES):
+            some = whole[at : at + codec.LANES]
+            masked, tiles = codec.decode_masked_many(some, 2.0, 16, 3), codec.decode_tiles(some, 2.0, codec.PRESETS["rgb"])
+            out.append(np.isfinite(masked).all(axis=(1, 2, 3)) & np.isfinite(tiles).all(axis=(1, 2, 3)))
+        return pa.array(np.concatenate(out) if out else [], pa.bool_())
 
     return fx.table(spark, sf_dir, "pages").select("page_id", finite("html").alias("finite"))

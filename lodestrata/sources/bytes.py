@@ -103,12 +103,10 @@ def encode_segments(points: DataFrame, q: float) -> DataFrame:
     rows = rows.select("surface", "ty", "tx", (F.col("p.channel") * SIDE * SIDE + F.col("at")).cast("int").alias("lin"), F.col("p.val").alias("val"))
     preset = codec.PRESETS["surface"]
 
-    def make(at, lin, val):
-        planes = np.zeros(3 * SIDE * SIDE)
-        planes[lin] = val
-        return [(codec.encode_tile(planes.reshape(3, SIDE, SIDE), q, preset),)]
+    def make(dense):
+        return np.arange(len(dense)), [codec.encode_tiles(dense.reshape(-1, 3, SIDE, SIDE), q, preset)]
 
-    return codec.per_block(rows, ["surface", "ty", "tx"], make, "surface int, ty int, tx int, payload binary")
+    return codec.per_block(rows, ["surface", "ty", "tx"], 3 * SIDE * SIDE, make, "surface int, ty int, tx int, payload binary")
 
 
 def segment_table(tiles: DataFrame) -> DataFrame:
@@ -125,17 +123,20 @@ def decode_segments(tiles: DataFrame, q: float, gh: int, gw: int) -> DataFrame:
     """(surface, v, u, z, y, x) again, without the padding."""
     preset = codec.PRESETS["surface"]
 
-    @F.arrow_udf("array<struct<lin int, z double, y double, x double>>")
-    def of(payloads: pa.Array) -> pa.Array:
-        out = []
-        for p in payloads.to_pylist():
-            z, y, x = codec.decode_tile(p, q, preset).reshape(3, -1)
-            out.append([{"lin": i, "z": a, "y": b, "x": c} for i, (a, b, c) in enumerate(zip(z.tolist(), y.tolist(), x.tolist(), strict=True))])
-        return pa.array(out, pa.list_(pa.struct([("lin", pa.int32()), ("z", pa.float64()), ("y", pa.float64()), ("x", pa.float64())])))
-
-    rows = tiles.select("surface", "ty", "tx", F.explode(of("payload")).alias("p"))
-    rows = rows.select("surface", (F.col("ty") * SIDE + F.floor(F.col("p.lin") / SIDE)).cast("int").alias("v"), (F.col("tx") * SIDE + F.col("p.lin") % SIDE).cast("int").alias("u"), "p.z", "p.y", "p.x")
-    return rows.where((F.col("v") < gh) & (F.col("u") < gw))
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lin = np.arange(SIDE * SIDE)
+        for whole in batches:
+            for start in range(0, whole.num_rows, codec.LANES // 16):
+                b = whole.slice(start, codec.LANES // 16)
+                z, y, x = np.moveaxis(codec.decode_tiles(b.column("payload").to_pylist(), q, preset).reshape(b.num_rows, 3, -1), 1, 0)
+                surface, ty, tx = (np.repeat(b.column(c).to_numpy(), len(lin)) for c in ("surface", "ty", "tx"))
+                at = np.tile(lin, b.num_rows)
+                v, u = ty * SIDE + at // SIDE, tx * SIDE + at % SIDE
+                here = (v < gh) & (u < gw)
+                every = [surface, v, u, z.ravel(), y.ravel(), x.ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(c[here], t) for c, t in zip(every, [pa.int32()] * 3 + [pa.float64()] * 3, strict=True)], names=["surface", "v", "u", "z", "y", "x"])
+
+    return tiles.select("surface", "ty", "tx", "payload").mapInArrow(of, "surface int, v int, u int, z double, y double, x double")
 
 
 CHUNK_ROWS = "cz int, cy int, cx int, k int, payload binary"

@@ -1,6 +1,7 @@
 """Analytic cases: linear fields, slabs, pruning, coders."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -76,6 +77,36 @@ def test_indices_come_back_and_garbage_decodes():
         assert codec.decode_masked(rng.bytes(n), 2.0, 16, 3).shape == (16, 16, 16)
 
 
+def test_many_streams_give_the_bytes_of_one():
+    rng = np.random.default_rng(7)
+    bits = rng.random((60, 700)) < rng.random((60, 1)) ** 2
+    coded = entropy.encode_bit_rows(bits)
+    assert coded == [entropy.encode_bits(r.tolist()) for r in bits] and (entropy.decode_bit_rows(coded, 700) == bits).all()
+    idx = np.stack([np.round(rng.standard_normal(4096) * s * (rng.random(4096) < d)).astype(int) for s in (0, 1, 40, 5000, 1e8) for d in (0, 0.001, 0.2, 1)])
+    coded = entropy.encode_index_rows(idx, 16, 3)
+    assert coded == [entropy.encode_indices(r, 16, 3) for r in idx] and (entropy.decode_index_rows(coded, 16, 3) == idx).all()
+    junk = [b"", b"\xff" * 900] + [rng.bytes(int(n)) for n in rng.integers(0, 900, 40)]
+    assert (entropy.decode_index_rows(junk, 16, 3) == [entropy.decode_indices(d, 16, 3) for d in junk]).all()
+    assert (entropy.decode_bit_rows(junk, 300) == [entropy.decode_bits(d, 300) for d in junk]).all()
+    assert entropy.encode_bit_rows(np.zeros((0, 5))) == [] and entropy.decode_index_rows([], 16, 3).shape == (0, 4096)
+
+
+def test_blocks_are_put_together_across_batches(monkeypatch):
+    monkeypatch.setattr(codec, "LANES", 4)
+    rng = np.random.default_rng(8)
+    k = np.sort(rng.integers(0, 30, 300))
+    lin = np.concatenate([rng.permutation(40)[:n] for n in np.unique(k, return_counts=True)[1]])
+    for size in (1, 3, 7, 300):
+        rows = pa.table({"k": k, "lin": lin, "val": np.arange(300.0) + 1})
+        seen, want = {}, {}
+        for a, b in codec.dense_blocks(iter(rows.to_batches(max_chunksize=size)), ["k"], 40):
+            assert len(a) <= 4 and not seen.keys() & set(a[:, 0].tolist())
+            seen |= dict(zip(a[:, 0].tolist(), b.copy(), strict=True))
+        for i, a in enumerate(k.tolist()):
+            want.setdefault(a, np.zeros(40))[lin[i]] = i + 1
+        assert seen.keys() == want.keys() and all((seen[a] == want[a]).all() for a in want)
+
+
 def test_masked_block_keeps_air_and_floor():
     at = np.indices((16, 16, 16)) - 8
     mask = (at**2).sum(axis=0) < 36
