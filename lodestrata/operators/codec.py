@@ -198,8 +198,9 @@ def decode_tiles(data: list[bytes], q: float, preset: Preset) -> np.ndarray:
 
 
 def dense_blocks(batches: Iterator[pa.RecordBatch], block: list[str], total: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(keys, blocks): at most LANES blocks a time of rows (block, lin, val) that come sorted by block, as arrays of total places, 0 where no row is."""
-    keys, dense, held = np.zeros((LANES, len(block)), np.int64), np.zeros((LANES, total)), 0
+    """(keys, blocks) of rows (block, lin, val) sorted by block, at most LANES blocks a time (fewer of over 4096 places), 0 where no row is."""
+    lanes = max(1, LANES * 4096 // max(total, 4096))
+    keys, dense, held = np.zeros((lanes, len(block)), np.int64), np.zeros((lanes, total)), 0
     for b in batches:
         if not b.num_rows:
             continue
