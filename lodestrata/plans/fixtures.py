@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 SIDE = 64
 
 VOX = "SELECT CAST(l_orderkey % 64 AS INT) AS z, CAST(l_partkey % 64 AS INT) AS y, CAST(l_suppkey % 64 AS INT) AS x, CAST(max(CAST(floor(l_quantity) AS INT) * 5) AS INT) AS v FROM lineitem GROUP BY 1, 2, 3"
+MASKED = f"SELECT * FROM ({VOX}) WHERE v > 50"
 TILE = "SELECT vec_id // 64 AS tile, CAST(vec_id % 64 AS INT) AS v, CAST(u.i - 1 AS INT) AS u, CAST(embedding[u.i] AS DOUBLE) * 255 AS val FROM embeddings, range(1, 65) AS u(i)"
 VEC3 = "SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS z, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS x FROM embeddings"
 REQ = "SELECT CAST(date_diff('day', TIMESTAMP '2024-01-01', ts) AS BIGINT) AS tick, user_id AS consumer, CAST(event_id % 4 AS BIGINT) AS bz, CAST(user_id % 4 AS BIGINT) AS \"by\", CAST(CAST(floor(value) AS INT) % 4 AS BIGINT) AS bx FROM events"

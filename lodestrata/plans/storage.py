@@ -9,7 +9,7 @@ import pyarrow as pa
 
 from pyspark.sql import functions as F
 
-from lodestrata.functions.keys import div, pack
+from lodestrata.functions.keys import Geometry, div, pack
 from lodestrata.operators import cache, cells, codec, store
 from lodestrata.sources import bytes as sb
 from lodestrata.streaming import mirror
@@ -167,13 +167,42 @@ def region_strided(spark, sf_dir):
     return store.offsets_of(box, LOW, (2000, 50, 1)).select("z", "y", "x", "at")
 
 
+SIDES = Geometry(fx.SIDE, fx.SIDE, fx.SIDE, 3, 16)
+
+
 @query("volume_roundtrip", f"SELECT z, y, x FROM ({fx.VOX}) WHERE z BETWEEN 4 AND 23 AND y BETWEEN 2 AND 20 AND x BETWEEN 8 AND 30")
 def volume_roundtrip(spark, sf_dir):
     """A volume written as coded blocks and a box of it read back: material is where it was."""
     at = folder(spark, "volume")
-    voxels = fx.vox(spark, sf_dir).withColumn("lod", F.lit(0))
-    store.write_volume(voxels, at, 2.0, chunk=16)
-    return store.read_region(spark, at, 0, (4, 2, 8), (20, 19, 23), 2.0, chunk=16).where("v > 0").select("z", "y", "x")
+    store.write_volume(fx.vox(spark, sf_dir).withColumn("lod", F.lit(0)), at, store.Header(SIDES, 2.0))
+    return store.read_region(spark, at, 0, (4, 2, 8), (20, 19, 23)).where("v > 0").select("z", "y", "x")
+
+
+@query("volume_header", "SELECT 64 AS dz, 64 AS dy, 64 AS dx, 3 AS lods, 16 AS chunk, CAST(2.5 AS DOUBLE) AS q, 'u8' AS dtype, CAST(count(*) AS VARCHAR) AS cells FROM ({})".format(fx.VOX))
+def volume_header(spark, sf_dir):
+    """A header as a later reader finds it, with the number of cells as metadata."""
+    at, vox = folder(spark, "volume"), fx.vox(spark, sf_dir)
+    store.write_header(spark, at, store.Header(SIDES, 2.5, "u8", {"cells": str(vox.count())}))
+    return store.header_rows(spark, at).select("dz", "dy", "dx", "lods", "chunk", "q", "dtype", F.col("metadata")["cells"].alias("cells"))
+
+
+@query("volume_ingest", f"SELECT 0 AS lod, z, y, x FROM ({fx.MASKED}) UNION ALL SELECT 1, z // 2, y // 2, x // 2 FROM ({fx.MASKED}) GROUP BY ALL UNION ALL SELECT 2, z // 4, y // 4, x // 4 FROM ({fx.MASKED}) GROUP BY ALL")
+def volume_ingest(spark, sf_dir):
+    """All levels written in one go and read back: which places have material at each level."""
+    at = folder(spark, "volume")
+    store.ingest_volume(fx.vox(spark, sf_dir), at, 50, store.Header(SIDES, 2.0))
+    level = lambda lod: store.read_region(spark, at, lod, (0, 0, 0), (fx.SIDE >> lod,) * 3).where("v > 0").select(F.lit(lod).alias("lod"), "z", "y", "x")
+    return level(0).unionByName(level(1)).unionByName(level(2))
+
+
+@query("chunk_rewrite", f"SELECT z, y, x FROM ({fx.VOX}) WHERE NOT (z < 16 AND y < 16 AND x < 32) OR (x < 16 AND z % 2 = 0)")
+def chunk_rewrite(spark, sf_dir):
+    """Two chunks of a stored volume replaced, one by every other layer of itself, one by air."""
+    at, vox = folder(spark, "volume"), fx.vox(spark, sf_dir).withColumn("lod", F.lit(0))
+    store.write_volume(vox, at, store.Header(SIDES, 2.0))
+    named = spark.createDataFrame([(0, 0, 0, 0), (0, 0, 0, 1)], "lod int, cz int, cy int, cx int")
+    store.rewrite_chunks(vox.where("z % 2 = 0 AND x < 16"), at, named)
+    return store.read_region(spark, at, 0, (0, 0, 0), (fx.SIDE,) * 3).where("v > 0").select("z", "y", "x")
 
 
 @query("ranged_bytes", "SELECT doc_id, CASE WHEN doc_id % 50 + 20 <= strlen(text) THEN 'ok' ELSE 'out_of_range' END AS status, CASE WHEN doc_id % 50 + 20 <= strlen(text) THEN 20 ELSE -1 END AS got FROM documents")

@@ -51,7 +51,7 @@ def _level(lod: int) -> None:
 for _lod in (1, 2, 3):
     _level(_lod)
 
-MASKED = f"SELECT * FROM ({fx.VOX}) WHERE v > 50"
+MASKED = fx.MASKED
 
 
 @query("ingest", f"SELECT 0 AS lod, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM ({MASKED}) UNION ALL SELECT 1, count(*), CAST(sum(v) AS BIGINT) FROM ({_coarser(MASKED)}) UNION ALL SELECT 2, count(*), CAST(sum(v) AS BIGINT) FROM ({_coarser(_coarser(MASKED))})")

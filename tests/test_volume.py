@@ -116,6 +116,26 @@ def test_masked_block_keeps_air_and_floor():
     assert 10 * np.log10(255**2 / ((back - block)[mask] ** 2).mean()) >= 28
 
 
+def test_volume_describes_itself_and_keeps_values(spark, tmp_path):
+    path, at = str(tmp_path / "v"), F.col("id")
+    ball = spark.range(32**3).select(F.lit(0).alias("lod"), F.floor(at / 1024).cast("int").alias("z"), (F.floor(at / 32) % 32).cast("int").alias("y"), (at % 32).cast("int").alias("x"))
+    far = F.pow(F.col("z") - 16, 2) + F.pow(F.col("y") - 16, 2) + F.pow(F.col("x") - 16, 2)
+    ball = ball.withColumn("v", F.when(far < 150, 60 + far / 2).otherwise(0).cast("int"))
+    header = store.Header(Geometry(32, 32, 32, 1, 16), 2.0, "u8", {"of": "a ball"})
+    store.write_volume(ball, path, header)
+    assert store.read_header(spark, path) == header
+    both = ball.join(store.read_region(spark, path, 0, (0, 0, 0), (32, 32, 32)).withColumnRenamed("v", "b"), ["z", "y", "x"])
+    air, mse = both.agg(F.sum(((F.col("v") == 0) != (F.col("b") == 0)).cast("int")), F.avg(F.when(F.col("v") > 0, F.pow(F.col("v") - F.col("b"), 2)))).first()
+    assert air == 0 and 10 * np.log10(255**2 / mse) >= 30
+    with pytest.raises(Exception, match="outside the volume"):
+        store.write_volume(ball, str(tmp_path / "w"), store.Header(Geometry(32, 32, 20, 1, 16), 2.0))
+    with pytest.raises(ValueError):
+        store.Header(header.geometry, 0.0)
+    store.header_rows(spark, path).limit(0).write.mode("overwrite").parquet(str(tmp_path / "x" / "header"))
+    with pytest.raises(ValueError, match="corrupt"):
+        store.read_header(spark, str(tmp_path / "x"))
+
+
 def test_chunk_images():
     image = sb.build_chunk({0: b"hello", 2: b"abc"})
     view = sb.Chunk(image)
