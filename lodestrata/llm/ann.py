@@ -16,9 +16,9 @@ from .langid import bounded
 
 #: Bounds of the sample that the index is fitted on, and of its cells; codes of a residual's parts; rounds of k-means.
 TRAIN_ROWS, MOST_CELLS, PARTS, CODES, ROUNDS = 20_000, 4096, 16, 256, 12
-#: Share of a query's neighbours that should lie in the cells it visits, by trial on TRIALS rows of the sample; candidates
-#: reranked in a block for each neighbour asked for; rows of a block.
-RECALL, TRIALS, RERANK, BLOCK = 0.95, 200, 5, 4096
+#: Share of a query's neighbours that should lie in the cells it visits, by trial of TRIALS queries on a sample; candidates
+#: reranked first in a block for each neighbour asked for; rows of a block.
+RECALL, TRIALS, RERANK, BLOCK = 0.98, 400, 5, 4096
 #: Queries scored at once against a block.
 AT_ONCE = 64
 
@@ -34,30 +34,30 @@ class Index:
         """The cell nearest to each row of x by distance."""
         return np.argmin((self.centres**2).sum(axis=1) - 2 * x @ self.centres.T, axis=1)
 
-    def encode(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        """A byte for each part of the residual."""
+    def encode(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A byte for each part of the residual, and how far the vector lies from what the bytes say."""
         parts, _, width = self.books.shape
         rest = (x - self.centres[cell]).reshape(len(x), parts, width)
-        out = np.empty((len(x), parts), np.uint8)
+        out, off = np.empty((len(x), parts), np.uint8), np.zeros(len(x))
         for p in range(parts):
             out[:, p] = np.argmin((self.books[p] ** 2).sum(axis=1) - 2 * rest[:, p] @ self.books[p].T, axis=1)
-        return out
+            off += ((rest[:, p] - self.books[p][out[:, p]]) ** 2).sum(axis=1)
+        return out, np.sqrt(off)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(queries, parts, codes): each code's share of the inner product with each query."""
         parts, _, width = self.books.shape
         return np.einsum("qpw,pcw->qpc", q.reshape(len(q), parts, width), self.books)
 
-    def visits(self, x: np.ndarray, k: int, recall: float) -> int:
-        """How many cells a query has to visit for recall of its k neighbours, tried with rows of x on x itself."""
-        q = np.arange(0, len(x), max(1, len(x) // TRIALS))
-        near = x[q] @ x.T
-        near[np.arange(len(q)), q] = -np.inf
+    def visits(self, ids: np.ndarray, x: np.ndarray, asked: np.ndarray, q: np.ndarray, k: int, recall: float) -> int:
+        """How many cells a query has to visit for recall of its k neighbours, tried with the queries q on the rows x."""
         k = min(k, len(x) - 1)
-        if k < 1:
+        if k < 1 or not len(q):
             return len(self.centres)
+        near = q @ x.T
+        near[asked[:, None] == ids[None, :]] = -np.inf
         true = self.cells(x)[np.argpartition(-near, k - 1, axis=1)[:, :k]]
-        place = np.argsort(np.argsort(-(x[q] @ self.centres.T), axis=1), axis=1)
+        place = np.argsort(np.argsort(-(q @ self.centres.T), axis=1), axis=1)
         return int(np.sort(np.take_along_axis(place, true, axis=1).ravel())[int(np.ceil(recall * true.size)) - 1]) + 1
 
     def visited(self, q: np.ndarray, n: int, sizes: np.ndarray, least: int) -> list[list[int]]:
@@ -102,6 +102,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _gathered(rows: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and vectors of a bounded number of rows (id, v)."""
+    got = rows.select("id", "v").toArrow()
+    return got["id"].to_numpy(), _matrix(got["v"].combine_chunks()).reshape(-1, d)
+
+
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -110,9 +116,11 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id"
 
     Fitted on a bounded sample of train_rows; every usable row is indexed and every usable query is answered; a query's
     own row is no candidate. Rows are held in blocks of about BLOCK rows: several small cells, or a part of a large one, so
-    a cell of any size is spread over tasks. A query goes once to each block that holds cells near to it, as many as the
-    sample shows it needs for recall; there, tables of its products with the codes rank all
-    rows, and the best k * rerank are scored exactly, in double precision, on the original vectors held in the block.
+    a cell of any size is spread over tasks. A query goes once to each block that holds cells near to it, as many as a
+    trial of queries on a sample that the index wasn't fitted on (all rows, if few) shows it needs for recall; there, tables
+    of its products with the codes rank all rows, and the best k * rerank are scored exactly, in double precision, on the
+    original vectors held in the block; so is then every other row that, as far as it may lie from its codes, could be
+    among the k best. So nothing is lost in the cells visited, however coarse the codes are for these rows.
     Vectors that are null, zero or hold null or non-finite components, rows with a null key and vectors of another length
     than most take no part. recall None is exact: every cell is visited and every row reranked. Repeated keys are separate rows. Few rows: all cells are visited. No rows: no results.
     """
@@ -127,10 +135,14 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id"
         return empty
     d, n = lengths
     own, asked = own.where(F.size("v") == d), asked.where(F.size("v") == d)
-    sample = _matrix(pa.Table.from_batches(bounded(own, F.col("id"), train_rows).select("v").toArrow().to_batches()).column(0).combine_chunks()) if n else np.zeros((0, d))
-    cells = int(min(MOST_CELLS, max(1, n**0.5), max(1, len(sample) // 8)))
-    model = fit(sample, cells)
-    sent, n_visit = spark.sparkContext.broadcast(model), len(model.centres) if recall is None else model.visits(sample, k, recall)
+    sample = _gathered(bounded(own, F.col("id"), train_rows), d)
+    cells = int(min(MOST_CELLS, max(1, n**0.5), max(1, len(sample[0]) // 8)))
+    model = fit(sample[1], cells)
+    n_visit = len(model.centres)
+    if recall is not None:
+        trial = sample if len(sample[0]) == n else _gathered(bounded(own, F.col("id"), train_rows, seed=1), d)
+        n_visit = model.visits(*trial, *_gathered(bounded(asked, F.col("id"), TRIALS, seed=2), d), k, recall)
+    sent = spark.sparkContext.broadcast(model)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -138,17 +150,18 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id"
                 part = b.slice(i, 4096)
                 x = _matrix(part.column(1))
                 cell = sent.value.cells(x)
-                codes = pa.array([c.tobytes() for c in sent.value.encode(x, cell)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cell, pa.int32()), codes], ["id", "v", "cell", "code"])
+                codes, off = sent.value.encode(x, cell)
+                codes = pa.array([c.tobytes() for c in codes], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cell, pa.int32()), codes, pa.array(off)], ["id", "v", "cell", "code", "off"])
 
-    indexed = cut(own.mapInArrow(index, f"id long, v {kind}, cell int, code binary"))
+    indexed = cut(own.mapInArrow(index, f"id long, v {kind}, cell int, code binary, off double"))
     sizes = {r[0]: r[1] for r in indexed.groupBy("cell").agg(F.count("*")).collect()}  # a row a cell, MOST_CELLS at most
     blocks = spark.sparkContext.broadcast(dealt(sizes))
     held = spark.sparkContext.broadcast(np.array([sizes.get(c, 0) for c in range(len(model.centres))]))
     place = spark.createDataFrame([(c, first, n) for c, (first, n) in blocks.value.items()], "cell int, first long, n long")
     # rows alike are spread too: a key with very many rows is in all blocks of its cell
     dealt_to = F.col("first") + F.pmod(F.xxhash64("id", F.spark_partition_id(), F.monotonically_increasing_id()), F.col("n"))
-    indexed = indexed.join(F.broadcast(place), "cell").select("id", "v", "cell", "code", dealt_to.cast("int").alias("block"))
+    indexed = indexed.join(F.broadcast(place), "cell").select("id", "v", "cell", "code", "off", dealt_to.cast("int").alias("block"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,7 +187,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id"
         out: list[list] = [[], [], []]
         if left.num_rows and right.num_rows:
             model, left = sent.value, left.sort_by("id")  # so that ties fall to the smaller key
-            ids, x, cell = left["id"].to_numpy(), _matrix(left["v"].combine_chunks()), left["cell"].to_numpy()
+            ids, x, cell, off = left["id"].to_numpy(), _matrix(left["v"].combine_chunks()), left["cell"].to_numpy(), left["off"].to_numpy()
+            size = np.sqrt((x**2).sum(axis=1))
             codes = np.frombuffer(b"".join(left["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
             for i in range(0, right.num_rows, AT_ONCE):
                 part = right.slice(i, AT_ONCE)
@@ -183,11 +197,22 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id"
                 near = (q @ model.centres.T)[:, cell]
                 for p in range(codes.shape[1]):
                     near += table[:, p][:, codes[:, p]]
+                whole = None
                 for row, visited in enumerate(part["near"].to_pylist()):
                     some = np.flatnonzero(np.isin(cell, visited) & (ids != asked_ids[row]))
+                    long = np.sqrt(q[row] @ q[row])
+                    slack = 1e-9 * long * size[some]  # rounding of products by another order of sums
+                    if len(some) > keep:
+                        first = some[np.argpartition(-near[row, some], keep - 1)[:keep]]
+                        least = np.partition(x[first] @ q[row], keep - k)[keep - k]
+                        ok = near[row, some] + long * off[some] + slack >= least
+                        some, slack = some[ok], slack[ok]
                     if len(some) > keep:
-                        some = some[np.argsort(-near[row, some], kind="stable")[:keep]]
-                    exact = x[some] @ q[row]
+                        if whole is None:
+                            whole = q @ x.T
+                        score = whole[row, some]
+                        some = some[score + slack >= np.partition(score - slack, len(some) - k)[len(some) - k]]
+                    exact = (x[some] * q[row]).sum(axis=1)  # alike for rows alike, wherever they stand
                     best = np.lexsort((ids[some], -exact))[:k]
                     out[0] += [int(asked_ids[row])] * len(best)
                     out[1] += ids[some[best]].tolist()

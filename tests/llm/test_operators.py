@@ -303,6 +303,21 @@ def test_nearest_against_brute_force(spark):
     assert ann.search(few, few, 10).count() == 6 and ann.search(table.limit(0), table, 10).count() == 0
 
 
+def test_nearest_among_tight_groups_and_wide_rows(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((6000, 32)) * 3  # wide rows, which the codes are spent on
+    tight = rng.random(6000) < 0.7
+    x[tight] = rng.standard_normal((5, 32))[rng.integers(5, size=tight.sum())] + rng.standard_normal((tight.sum(), 32)) * 0.01
+    table = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.search(table, table.where("vec_id % 20 = 0")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    exact = x @ x.T
+    np.fill_diagonal(exact, -np.inf)
+    hit = [len(found[q] & set(np.argsort(-exact[q])[:20].tolist())) for q in range(0, 6000, 20)]
+    assert sum(hit) / (20 * len(hit)) >= 0.95
+
+
 def paths(lattice, unit):
     """Every segmentation of a unit with its weight."""
     if not unit:
