@@ -50,10 +50,9 @@ def dct2_forward(spark, sf_dir):
 
 @query("dct2_roundtrip", f"SELECT tile, v, u, round(val, 4) + 0.0 AS val FROM ({fx.TILE})")
 def dct2_roundtrip(spark, sf_dir):
-    """Every tile there and back; places that the last tile lacks come back as zeros and are left out."""
-    tiles = fx.tile(spark, sf_dir)
-    back = transform.inverse(transform.forward(tiles, ["tile"], ["v", "u"], 64), ["tile"], ["v", "u"], 64)
-    return back.join(tiles, ["tile", "v", "u"], "left_semi").select("tile", "v", "u", (F.round("val", 4) + 0.0).alias("val"))
+    """Every tile there and back; places that the last tile lacks are left out."""
+    back = transform.there_and_back(fx.tile(spark, sf_dir), ["tile"], ["v", "u"], 64)
+    return back.select("tile", "v", "u", (F.round("val", 4) + 0.0).alias("val"))
 
 
 BLOCKS3 = f"SELECT CAST(z // 16 AS INT) AS bz, CAST(y // 16 AS INT) AS b_y, CAST(x // 16 AS INT) AS bx, z % 16 AS z, y % 16 AS y, x % 16 AS x, CAST(v AS DOUBLE) AS val FROM ({fx.VOX})"

@@ -1,5 +1,7 @@
 """Analytic cases: linear fields, slabs, pruning, coders."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -141,3 +143,26 @@ def test_chunk_images():
     view = sb.Chunk(image)
     assert view.verify() and dict(view.blocks()) == {0: b"hello", 2: b"abc"} and view.length() == len(image)
     assert not sb.Chunk(image[:-1] + b"?").verify() and not sb.Chunk(b"").verify() and list(sb.Chunk(b"x" * 50).blocks()) == []
+
+
+def test_transform_gathers_blocks_once(spark):
+    n, rng = 4, np.random.default_rng(3)
+    x = {b: rng.standard_normal((n, n)) for b in (0, 7, None)}
+    x[7][1:] = 0  # absent samples are 0
+    rows = [(b, v, u, float(x[b][v, u])) for b in x for v in range(n if b != 7 else 1) for u in range(n)]
+    x[0][2, 3] += 5  # samples at one place add up, nulls don't, places off the block are left out
+    rows += [(0, 2, 3, 5.0), (0, 1, 1, None), (0, n, 0, 9.0), (0, None, 0, 9.0), (9, 0, 0, None)]
+    table = spark.createDataFrame(rows, "b long, v int, u int, val double").repartition(5)
+    m = transform.matrix(n)
+    got = transform.forward(table, ["b"], ["v", "u"], n)
+    assert got.columns == ["b", "v", "u", "val"]
+    found = {(r.b, r.v, r.u): r.val for r in got.collect()}
+    assert len(found) == 4 * n * n and all(found[9, v, u] is None for v in range(n) for u in range(n))
+    for b in x:
+        want = m @ x[b] @ m.T
+        assert all(found[b, v, u] == pytest.approx(want[v, u], abs=1e-12) for v in range(n) for u in range(n))
+    back = {(r.b, r.v, r.u): r.val for r in transform.there_and_back(table.where("b < 9"), ["b"], ["v", "u"], n).collect()}
+    assert back.keys() == {(b, v, u) for b, v, u, _ in rows if b in (0, 7) and v is not None and v < n}
+    assert all(back[b, v, u] == pytest.approx(x[b][v, u], abs=1e-12) for b, v, u in back)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and len(set(re.findall(r"hashpartitioning\([^)]*\)", plan))) == 1  # blocks move once
