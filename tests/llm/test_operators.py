@@ -562,3 +562,14 @@ def test_names_of_inputs_cannot_clash(spark):
         assert out.columns[: len(table.columns)] == table.columns and len(set(out.columns)) == len(out.columns)
         for r in out.collect():
             assert list(r)[4 : 4 + len(names)] == list(range(100, 100 + len(names)))
+
+
+def test_passages_exact_way_ties_all_holders(spark):
+    rng = random.Random(17)
+    own = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    pieces_ = [own(25) for _ in range(3)]  # each stands alone in six earlier documents, too short for a passage
+    rows = [(i, " ".join(t for p in pieces_ for t in (own(30), p, own(30)))) for i in range(6)]
+    for i in (20, 21):  # these two share all three, with another word where they meet
+        rows.append((i, own(40) + " " + f" {own(1)} ".join(pieces_) + " " + own(40)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [(r.key, r.start, r.end, r.first_key, r.matched) for r in passages.repeated_passages(table, rounds=None).collect()] == [(21, 40, 117, 20, 75)]
