@@ -81,6 +81,27 @@ def signatures(words: list[Column], max_bits: int) -> Column:
     return F.array(*[part.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << p))).bitwiseOR(F.lit((s << 38) | (p << 32))) for s, width, part in segments(words, max_bits) for p in range(width)])
 
 
+def marked(rows: DataFrame, words: list[Column], max_bits: int, *columns: str) -> DataFrame:
+    """(columns, k, bit): a row for each signature k of each fingerprint, with the bit at k's wildcard."""
+    parts = F.array(*[F.struct(F.lit(s << 38).alias("s"), F.lit(width).alias("width"), part.alias("v")) for s, width, part in segments(words, max_bits)])
+    rows = rows.select(*columns, F.explode(parts).alias("part")).select(*columns, "part", F.explode(F.sequence(F.lit(0), F.col("part.width") - 1)).alias("p"))
+    v, one = F.col("part.v"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p"))
+    k = v.bitwiseAND(F.bitwise_not(one)).bitwiseOR(F.col("part.s")).bitwiseOR(F.shiftleft(F.col("p").cast("long"), 32))
+    return rows.select(*columns, k.alias("k"), (v.bitwiseAND(one) != 0).alias("bit"))
+
+
+def contested(rows: DataFrame) -> DataFrame:
+    """(k, lo, n): the signatures of rows (c, k, bit) that several components c share and need for it: the least of them and the rows.
+
+    Fingerprints with a whole segment in common share a signature for each of its bits, and the first of these does for
+    them; any other is needed only where both values of its bit occur. So it is exact, and a large group of near copies
+    has a few signatures for each of its values.
+    """
+    of = rows.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), (F.min("bit") != F.max("bit")).alias("both"))
+    first = F.shiftright("k", 32).bitwiseAND(F.lit(63)) == 0
+    return of.where((F.col("lo") != F.col("hi")) & (F.col("both") | first)).select("k", "lo", "n")
+
+
 def _found_here(x: list[Column], k: Column, max_bits: int) -> Column:
     """Whether two fingerprints that differ in the bits x are to be reported under their common signature k: the first segment that differs by one bit at most."""
     segment, place = F.shiftright(k, 38), F.shiftright(k, 32).bitwiseAND(F.lit(63))
@@ -190,7 +211,7 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: i
 
     def signed(of: DataFrame, *columns: str) -> DataFrame:
         """A row for each signature k of each node; as that is many, the nodes are dealt anew, so that no task has more of them than its memory holds."""
-        return of.repartition(width, "node").select(*columns, F.explode(signatures(fp, sure_bits)).alias("k"))
+        return marked(of.repartition(width, "node"), fp, sure_bits, *columns)
 
     def near(a: Column, b: Column) -> Column:
         return sum(F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(parts)) <= apart
@@ -198,7 +219,7 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: i
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are alike."""
         pairs = kept(pairs)
-        used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        used = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct()
         used = used.join(nodes.select("node", "first"), "node").select("node", "first.key", "first.text_hash")
         same = (F.col("p.node") == F.col("u.node")) & F.col("p.key").eqNullSafe(F.col("u.key")) & (F.col("p.text_hash") == F.col("u.text_hash"))
         sets = kept(parsed.alias("p").join(used.alias("u"), same).select("p.node", "p.sh").dropDuplicates(["node"]))
@@ -229,7 +250,7 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: i
     links = compared(kept(whole.join(heads, "k")), None)
     # signatures that several components share: one node of each
     of = grouped(links)
-    shared = kept(signed(of, "c").groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("k", "lo", "n"))
+    shared = kept(contested(signed(of, "c")))
     members = kept(signed(of, "node", "c").groupBy("k", "c").agg(F.min("node").alias("node")).join(shared, "k"))
     links = compared(members.where("c <> lo").join(members.where("c = lo").select("k", F.col("node").alias("head")), "k"), links)
     # signatures that several components share still: all nodes, but where both of two have been compared

@@ -524,6 +524,29 @@ def edited(rng, text, changes):
     return " ".join(w)
 
 
+def test_contested_signatures_against_brute_force(spark):
+    rng = random.Random(6)
+    base = [rng.getrandbits(64), rng.getrandbits(64)]
+    flips = [(0, 1 << 3), (0, 1 << 40), (1, 1 << 20), (1, 1 << 44)]  # a family of near copies: few values of each segment
+    fps = [[w ^ sum(b for k, b in flips if k == i and rng.random() < 0.4) for i, w in enumerate(base)] for _ in range(120)] + [[rng.getrandbits(64), rng.getrandbits(64)] for _ in range(40)]
+    signed = [[w - (1 << 64) if w >> 63 else w for w in f] for f in fps]
+    rows = spark.createDataFrame([(i, f, i // 2) for i, f in enumerate(signed)], "node long, fp array<long>, c long")
+    words = [F.col("fp")[k] for k in range(2)]
+    all_of = simhash.marked(rows, words, 9, "node", "c")
+    plain = rows.select("node", F.explode(simhash.signatures(words, 9)).alias("k"))
+    assert sorted(map(tuple, all_of.select("node", "k").collect())) == sorted(map(tuple, plain.collect()))
+    under = all_of.join(simhash.contested(all_of), "k").collect()
+    by = {}
+    for r in under:
+        by.setdefault(r.k, []).append((r.node, r.c))
+    got = {(i, j) for some in by.values() for i, c in some for j, d in some if i < j and c != d}
+    cuts = simhash.bounds(9, 128)
+    whole = [f[0] | f[1] << 64 for f in fps]
+    near = lambda x: any((x >> at & ((1 << n) - 1)).bit_count() <= 1 for at, n in cuts)
+    assert got == {(i, j) for j in range(160) for i in range(j) if i // 2 != j // 2 and near(whole[i] ^ whole[j])}
+    assert len(under) <= 120 * (len(cuts) + 2 * len(flips))  # of 128 a fingerprint
+
+
 def test_similar_against_brute_force(spark, docs, none):
     rng = random.Random(4)
     bases = [" ".join(f"w{rng.randrange(4000)}" for _ in range(rng.randint(80, 300))) for _ in range(60)]
