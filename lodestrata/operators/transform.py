@@ -17,6 +17,8 @@ from lodestrata.functions import quant
 BUCKETS = 8
 #: Places of blocks transformed at once.
 AT_ONCE = 1 << 16
+#: Bytes of input files for each task that gathers blocks: their packed samples are two or three times as many.
+TASK_INPUT = 16 << 20
 
 
 def matrix(n: int) -> np.ndarray:
@@ -59,7 +61,19 @@ def _packed(rows: DataFrame, block: list[str], axes: list[str], n: int) -> DataF
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(first) for c in range(len(block))), _binary(at, ends), _binary(val, ends)], [*block, "at", "val"])
 
     kept = ", ".join(f"`{c}` {k}" for c, k in zip(block, kinds, strict=True))
-    return flat.mapInArrow(pack, f"{kept}, at binary, val binary").repartition(*block).sortWithinPartitions(*block)
+    return gathered(flat.mapInArrow(pack, f"{kept}, at binary, val binary"), rows, block)
+
+
+def gathered(pieces: DataFrame, source: DataFrame, block: list[str]) -> DataFrame:
+    """pieces with those of a block next to one another, in so many tasks that each holds about as much whatever the size of source, which pieces are of.
+
+    Where the session's number of partitions will do, or source's size isn't known, Spark chooses.
+    """
+    leaves = source._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    tasks, usual = -(-size // TASK_INPUT), int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fixed = [tasks] if usual < tasks < 1 << 20 else []
+    return pieces.repartition(*fixed, *block).sortWithinPartitions(*block)
 
 
 def _place(size: int) -> str:

@@ -168,6 +168,17 @@ def test_transform_gathers_blocks_once(spark):
     assert "HashAggregate" not in plan and len(set(re.findall(r"hashpartitioning\([^)]*\)", plan))) == 1  # blocks move once
 
 
+def test_tasks_that_gather_blocks_follow_the_input(spark, tmp_path, monkeypatch):
+    i = F.col("id")
+    spark.range(4000).select(F.floor(i / 16).alias("b"), (F.floor(i / 4) % 4).cast("int").alias("v"), (i % 4).cast("int").alias("u"), i.cast("double").alias("val")).repartition(7).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    usual = {(r.b, r.v, r.u): r.val for r in transform.forward(table, ["b"], ["v", "u"], 4).collect()}
+    monkeypatch.setattr(transform, "TASK_INPUT", sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet")) // 9)
+    many = transform.forward(table, ["b"], ["v", "u"], 4)
+    assert 9 <= many.rdd.getNumPartitions() <= 11  # 4 are the session's
+    assert {(r.b, r.v, r.u): r.val for r in many.collect()} == pytest.approx(usual, abs=1e-9) and len(usual) == 4000
+
+
 def test_nearest_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(spatial, "LEAF", 16)  # many leaves
     monkeypatch.setattr(spatial, "within_radius", None)  # pairs within the radius aren't listed
