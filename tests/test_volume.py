@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions.keys import Geometry
-from lodestrata.operators import cells, codec, entropy, render, sampling, spatial, store, surfaces, transform
+from lodestrata.operators import cells, codec, entropy, render, sampling, spatial, store, surfaces, training, transform
 from lodestrata.sources import bytes as sb
 
 
@@ -179,6 +179,30 @@ def test_tasks_that_gather_blocks_follow_the_input(spark, tmp_path, monkeypatch)
     assert {(r.b, r.v, r.u): r.val for r in many.collect()} == pytest.approx(usual, abs=1e-9) and len(usual) == 4000
 
 
+def test_tally_counts_blocks_from_pieces(spark):
+    rng = np.random.default_rng(8)
+    rows = [(b, s, s % 8, int(rng.choice([0, 0, 0, 1, -1, 2, -5, 70000])) if b % 3 else 0) for b in range(12) for s in range(60)]
+    rows += [(None, 4, 2, 3), (None, 9, 1, 0), (None, 2, 7, None), (5, 3, 3, 1)]  # a null block, a null index, a place given twice
+    want, last = {}, {b: max((s for c, s, _, v in rows if c == b and v), default=None) for b, *_ in rows}
+
+    def bit(ctx, x):
+        want.setdefault(ctx, [0, 0])[x] += 1
+
+    for b, s, bucket, v in rows:
+        if last[b] is None or s <= last[b]:
+            bit(bucket, int(bool(v)))
+            for i in range((k := (abs(v) - 1).bit_length()) + 1) if v else ():
+                bit(min(i, 15) + 16, int(i < k))
+            if v:
+                bit(bucket + 8, int(s < last[b]))
+    table = spark.createDataFrame(rows, "b long, scan int, bucket int, idx long").repartition(6)
+    got = training.tally(table, ["b"])
+    assert {r.ctx: [r.n0, r.n1] for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan  # no sort of all places, no row for each bit
+    assert training.tally(table.limit(0), ["b"]).count() == 0
+
+
 def test_nearest_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(spatial, "LEAF", 16)  # many leaves
     monkeypatch.setattr(spatial, "within_radius", None)  # pairs within the radius aren't listed
