@@ -219,7 +219,7 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: i
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are alike."""
         pairs = kept(pairs)
-        used = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct()
+        used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         used = used.join(nodes.select("node", "first"), "node").select("node", "first.key", "first.text_hash")
         same = (F.col("p.node") == F.col("u.node")) & F.col("p.key").eqNullSafe(F.col("u.key")) & (F.col("p.text_hash") == F.col("u.text_hash"))
         sets = kept(parsed.alias("p").join(used.alias("u"), same).select("p.node", "p.sh").dropDuplicates(["node"]))
@@ -251,13 +251,13 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: i
     # signatures that several components share: one node of each
     of = grouped(links)
     shared = kept(contested(signed(of, "c")))
-    members = kept(signed(of, "node", "c").groupBy("k", "c").agg(F.min("node").alias("node")).join(shared, "k"))
+    members = kept(signed(of, "node", "c").join(shared, "k").groupBy("k", "c", "lo", "n").agg(F.min("node").alias("node")))
     links = compared(members.where("c <> lo").join(members.where("c = lo").select("k", F.col("node").alias("head")), "k"), links)
     # signatures that several components share still: all nodes, but where both of two have been compared
     of = grouped(links)
     several = members.where("n > 2").join(of.select("node", F.col("c").alias("now")), "node").groupBy("k").agg(F.min("now").alias("lo"), F.max("now").alias("hi"))
     several = kept(several.where("lo <> hi").select("k"))
-    apart_still = kept(signed(of, "node", "fp", "c").join(several, "k"))
+    apart_still = kept(signed(of, "node", "fp", "c").drop("bit").join(several, "k"))
     x, y = apart_still.select("k", F.struct("node", "fp", "c").alias("x")), apart_still.select("k", F.struct("node", "fp", "c").alias("y"))
     pairs = x.join(y, "k").where((F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & near(F.col("x.fp"), F.col("y.fp")))
     differ = [F.col("x.fp")[k].bitwiseXOR(F.col("y.fp")[k]) for k in range(parts)]
