@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lodestrata.llm import ann, host_rules, langid, mixing, passages, pieces, simhash, tokens, toxicity, warc
-from lodestrata.llm.common import connected_components
+from lodestrata.llm.common import connected_components, cut
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, Size int, key string, h string, word string"
@@ -596,3 +596,15 @@ def test_passages_exact_way_ties_all_holders(spark):
         rows.append((i, own(40) + " " + f" {own(1)} ".join(pieces_) + " " + own(40)))
     table = spark.createDataFrame(rows, "doc_id long, text string")
     assert [(r.key, r.start, r.end, r.first_key, r.matched) for r in passages.repeated_passages(table, rounds=None).collect()] == [(21, 40, 117, 20, 75)]
+
+
+def test_checkpoints_and_components_leave_no_shuffle_files(spark):
+    def files() -> int:
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+    edges = [(int(a), int(b)) for a, b in np.random.default_rng(3).integers(-200, 200, (180, 2))] + [(999, 999)]
+    table, before = spark.createDataFrame(edges, "a long, b long"), files()
+    cut(table.groupBy("a").count())
+    few = connected_components(table)
+    assert files() <= before
+    assert sorted(few.collect()) == sorted(connected_components(table, at_once=0).collect())
