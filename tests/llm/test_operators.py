@@ -9,6 +9,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -608,3 +609,15 @@ def test_checkpoints_and_components_leave_no_shuffle_files(spark):
     few = connected_components(table)
     assert files() <= before
     assert sorted(few.collect()) == sorted(connected_components(table, at_once=0).collect())
+
+
+def test_passages_number_documents_and_chain_in_arrays(spark):
+    keys = [(k, th) for k in [None, 5, -3, 900, 17] for th in (8, -8)]
+    got = {(r.key, r.th): r.d for r in passages.numbered(spark.createDataFrame(keys, "key long, th long").repartition(7)).collect()}
+    assert [got[k] for k in sorted(keys, key=lambda k: (k[0] is None, k[0] or 0, k[1]))] == list(range(10))
+    rng = np.random.default_rng(5)
+    rows = [np.cumsum(rng.integers(0, 70, (int(rng.integers(0, 9)), 2)), 0).tolist() for _ in range(500)]
+    x, y = ([[int(p[i]) for p in r] for r in rows] for i in (0, 1))
+    want = [passages.whole(a, b, list(range(len(a)))) for a, b in zip(x, y, strict=True)]
+    plain = passages.chained_whole(pa.array(x, pa.list_(pa.int32())), pa.array(y, pa.list_(pa.int32()))).tolist()
+    assert plain == want and 0 < sum(want) < 500
