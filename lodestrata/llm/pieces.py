@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import fold, small_batches
 from .tokens import slices
 
-#: Temperature of the pieces' log-probabilities, seed, and characters whose lattices are built at once.
-ALPHA, SEED, RUN = 1.0, 0, 1 << 20
+#: Temperature of the pieces' log-probabilities, seed, and characters whose lattices are built at once (for 2^18, arrays of up to some 70 MB).
+ALPHA, SEED, RUN = 1.0, 0, 1 << 18
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Bits of a code point, and what stands where a part has no further character.
 POINT, NONE = 21, (1 << 21) - 1

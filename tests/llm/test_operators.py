@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -446,6 +447,24 @@ def test_repeated_passages(spark, docs, none):
     assert passages.cut_passages(docs).columns == docs.columns
 
 
+def test_passages_are_cut_in_one_worker_a_task(spark, docs):
+    plan = passages.cut_passages(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_lattices_take_little_memory(spark):
+    own, rng = pieces.lattice(public_tokenizers.path("piece_bpe_32k.model"), 1.0), random.Random(5)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(50_000)) for _ in range(20)]
+    few = [own.sample([t], [i])[0] for i, t in enumerate(texts[:3])]
+    tracemalloc.start()
+    try:
+        many, most = own.sample(texts, list(range(20))), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 120e6  # a million characters
+    assert all((a == b).all() for a, b in zip(few, many, strict=False)) and [own.decode(x) for x in many] == texts
+
+
 @pytest.mark.parametrize("gap", [10, 30, 40, 75, 150, 300])
 def test_two_passages_in_one_pair(spark, gap):
     rng = random.Random(gap)
